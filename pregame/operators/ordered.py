@@ -271,64 +271,76 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str], new
     return kept.select(*[F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns])
 
 
+@dataclass(frozen=True)
+class Span:
+    """A sum over instants from `t + start` to `t + end` microseconds, both ends included."""
+
+    column: str
+    start: int
+    end: int
+
+
+def last_days(column: str, days: float) -> Span:
+    """`[t - days, t)`: the rows at `t` itself never count."""
+    return Span(column, -int(days * DAY_MICROS), -1)
+
+
+def days_ago(column: str, days: float) -> Span:
+    """Only rows exactly `days` x 24 hours earlier."""
+    return Span(column, -int(days * DAY_MICROS), -int(days * DAY_MICROS))
+
+
 def trailing_time(
     df: DataFrame,
     keys: Sequence[str],
     ts: str,
-    windows: dict[str, tuple[str, float]],
+    spans: dict[str, Span],
     calendar_days: bool = False,
     group_rows: int | None = None,
     sized_by: DataFrame | None = None,
 ) -> DataFrame:
-    """Sums over `[t - days, t)` per group: `windows` maps output name to (column, days).
-
-    Rows at the very instant `t` are never counted; an empty window gives 0.
-    """
-    instant = F.unix_micros(F.col(ts).cast("timestamp"))
-    if calendar_days:
-        instant = F.unix_micros(F.date_trunc("day", F.col(ts).cast("timestamp")))
-    timed = df.withColumn("_t", instant)
-    if largest_group(df if sized_by is None else sized_by, keys) <= group_limit(df, group_rows):
-        by_time = Window.partitionBy(*keys).orderBy("_t")
-        sums = {
-            name: F.coalesce(
-                F.sum(column).over(by_time.rangeBetween(-int(days * DAY_MICROS), -1)), F.lit(0.0)
-            )
-            for name, (column, days) in windows.items()
-        }
-        return timed.select("*", *[c.alias(n) for n, c in sums.items()]).drop("_t")
-    return _trailing_by_prefix(timed, keys, windows, group_rows).drop("_t")
+    """Sums over spans of earlier time per group; an empty span gives 0."""
+    moment = F.col(ts).cast("timestamp")
+    timed = df.withColumn("_t", F.unix_micros(F.date_trunc("day", moment) if calendar_days else moment))
+    if largest_group(df if sized_by is None else sized_by, keys) > group_limit(df, group_rows):
+        return _trailing_by_prefix(timed, keys, spans, group_rows).drop("_t")
+    by_time = Window.partitionBy(*keys).orderBy("_t")
+    sums = [
+        F.coalesce(F.sum(s.column).over(by_time.rangeBetween(s.start, s.end)), F.lit(0.0)).alias(name)
+        for name, s in spans.items()
+    ]
+    return timed.select("*", *sums).drop("_t")
 
 
 def _trailing_by_prefix(
-    timed: DataFrame, keys: Sequence[str], windows: dict[str, tuple[str, float]], group_rows: int | None
+    timed: DataFrame, keys: Sequence[str], spans: dict[str, Span], group_rows: int | None
 ) -> DataFrame:
-    """A window sum as the difference of two running totals, each computed in bounded chunks."""
-    columns = sorted({c for c, _ in windows.values()})
-    spans = sorted({d for _, d in windows.values()})
+    """A span sum as the difference of two running totals, each computed in bounded chunks."""
+    columns = sorted({s.column for s in spans.values()})
+    offsets = sorted({s.start for s in spans.values()} | {s.end + 1 for s in spans.values()} | {0})
     instants = timed.groupBy(*keys, "_t").agg(*[F.sum(c).alias(c) for c in columns])
-    marks = [F.struct(F.col("_t").alias("at"), F.lit(0.0).alias("span"), F.lit(1).alias("kind"))]
-    marks += [
-        F.struct((F.col("_t") - int(d * DAY_MICROS)).alias("at"), F.lit(float(d)).alias("span"), F.lit(0).alias("kind"))
-        for d in spans
+    # One mark per offset; the mark at 0 carries the values and sorts behind others of its instant.
+    marks = [
+        F.struct((F.col("_t") + o).alias("at"), F.lit(o).cast("bigint").alias("off"), F.lit(int(o == 0)).alias("own"))
+        for o in offsets
     ]
     points = instants.withColumn("_m", F.explode(F.array(*marks))).select(
         *keys,
         "_t",
         F.col("_m.at").alias("_at"),
-        F.col("_m.span").alias("_span"),
-        F.col("_m.kind").alias("_kind"),
-        *[F.when(F.col("_m.kind") == 1, F.col(c)).alias(c) for c in columns],
+        F.col("_m.off").alias("_off"),
+        F.col("_m.own").alias("_own"),
+        *[F.when(F.col("_m.own") == 1, F.col(c)).alias(c) for c in columns],
     )
     totals = running_columns(
-        points, keys, ["_at", "_kind", "_span"], {f"_p_{c}": prior_sum(c) for c in columns}, group_rows
+        points, keys, ["_at", "_own", "_off"], {f"_p_{c}": prior_sum(c) for c in columns}, group_rows
     )
-    total_at = lambda c, span: F.max(F.when(F.col("_span") == float(span), F.col(f"_p_{c}")))
+    before = lambda c, offset: F.max(F.when(F.col("_off") == offset, F.col(f"_p_{c}")))
     sums = totals.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t").alias("_k__t")).agg(
-        *[(total_at(c, 0.0) - total_at(c, d)).alias(name) for name, (c, d) in windows.items()]
+        *[(before(s.column, s.end + 1) - before(s.column, s.start)).alias(n) for n, s in spans.items()]
     )
     joined = timed.join(sums, _same(timed, sums, (*keys, "_t"), "_k_"), "left")
-    return joined.select(*timed.columns, *windows)
+    return joined.select(*timed.columns, *spans)
 
 
 def streaks(

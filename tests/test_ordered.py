@@ -49,6 +49,7 @@ def expected():
                 prev=before.x.iloc[-1] if i else np.nan,
                 last=before.x.dropna().iloc[-1] if len(before.x.dropna()) else np.nan,
                 span=span.x.sum(),
+                ago=before[before.ts == row.ts - timedelta(days=1)].x.sum(),
                 home_run=float(run) if row.home else 0.0,
                 away_run=0.0 if row.home else float(run),
             )
@@ -67,7 +68,7 @@ def test_windows_match_loop_for_any_chunk_size(frame, expected, group_rows):
         "last": o.prior_last("x"),
     }
     out = o.running_columns(frame, ["k"], ["ts", "id"], specs, group_rows)
-    out = o.trailing_time(out, ["k"], "ts", {"span": ("x", 3)}, group_rows=group_rows)
+    out = o.trailing_time(out, ["k"], "ts", {"span": o.last_days("x", 3), "ago": o.days_ago("x", 1)}, group_rows=group_rows)
     out = o.streaks(out, ["k"], ["ts", "id"], "home", {1: "home_run", 0: "away_run"}, group_rows)
     rows = out.collect()
     assert len(rows) == len(expected)
