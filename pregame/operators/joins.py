@@ -30,6 +30,7 @@ def asof_strict(
     columns: Sequence[str],
     tie: str | None = None,
     group_rows: int | None = None,
+    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """For each left row the latest right row of the same key with a strictly earlier instant.
 
@@ -49,7 +50,7 @@ def asof_strict(
         *keys, micros.alias("_t"), F.lit(1).alias("_side"), tie_of.alias("_tie"), found.alias("_found"),
     )
     both = seekers.unionByName(history, allowMissingColumns=True)
-    laid = arrange(both, keys, ["_t", "_side", "_tie"], group_rows).add({"_match": prior_last("_found")})
+    laid = arrange(both, keys, ["_t", "_side", "_tie"], group_rows, sized_by).add({"_match": prior_last("_found")})
     kept = laid.done().filter(F.col("_side") == 0)
     own = [F.col("_left")[c].alias(c) for c in left.columns if c not in columns]
     return kept.select(*own, *[F.col("_match")[c].alias(c) for c in columns])
@@ -142,6 +143,7 @@ def set_continuity(
     order: Sequence[str],
     member: str,
     group_rows: int | None = None,
+    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Compare each unit's member set with the set of the unit before it in the same group.
 
@@ -154,7 +156,7 @@ def set_continuity(
     units = df.groupBy(group, unit).agg(*[F.min(o).alias(o) for o in order])
     units = units.join(counts, [group, unit], "left").fillna(0, ["_size"])
     by_id = [F.col(unit).try_cast("bigint"), F.col(unit)]
-    laid = arrange(units, [group], [*order, *by_id], group_rows)
+    laid = arrange(units, [group], [*order, *by_id], group_rows, sized_by)
     units = laid.add({"_before": previous(unit), "_before_size": previous("_size")}).done()
     units = units.select(group, unit, "_before", F.when(F.col("_before_size") > 0, F.col("_before_size")).alias("_before_size"))
 

@@ -194,8 +194,13 @@ def group_limit(df: DataFrame, group_rows: int | None) -> int:
     return int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Row count of the largest group: a pre-aggregated count over the key columns only."""
+def largest_group(df: DataFrame | int, keys: Sequence[str]) -> int:
+    """Row count of the largest group: a pre-aggregated count over the key columns only.
+
+    A number is taken as already counted.
+    """
+    if isinstance(df, int):
+        return df
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
 
 
@@ -204,11 +209,12 @@ def arrange(
     keys: Sequence[str],
     order: Sequence[str | Column],
     group_rows: int | None = None,
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | int | None = None,
 ) -> Arranged:
     """Lay `df` out by `keys` in the total order `order`.
 
-    `sized_by` is a cheaper frame with the same groups, for a `df` that is costly to compute.
+    `sized_by` is a cheaper frame with the same groups (or their known greatest size), for a `df`
+    that is costly to compute.
     """
     limit = group_limit(df, group_rows)
     columns = tuple(col(o) for o in order)
@@ -297,7 +303,7 @@ def trailing_time(
     spans: dict[str, Span],
     calendar_days: bool = False,
     group_rows: int | None = None,
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Sums over spans of earlier time per group; an empty span gives 0."""
     moment = F.col(ts).cast("timestamp")
@@ -350,7 +356,7 @@ def streaks(
     flag: str,
     names: dict[object, str],
     group_rows: int | None = None,
-    sized_by: DataFrame | None = None,
+    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Length of the current run of equal `flag` values; `names` maps a flag value to its column."""
     laid = arrange(df, keys, order, group_rows, sized_by)

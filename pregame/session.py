@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,23 +24,25 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _checkpoint_folder(spark: SparkSession) -> None:
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None:
-        if not context.master.startswith("local"):
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for checkpoints; a temporary one only for a local master."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named is None:
+        if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-        shared = tempfile.mkdtemp(prefix="pregame-checkpoint-")
-    context.setCheckpointDir(shared)
+        named = tempfile.mkdtemp(prefix="pregame-")
+        spark.conf.set("spark.checkpoint.dir", named)
+    return named
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write `df` to the shared checkpoint folder and go on from the written copy.
+    """Write `df` to the shared folder and go on from the written table.
 
     Used where a later stage must see exactly the same rows twice (row numbers, range
-    partitions) or where a wide plan would otherwise be carried into every branch.
+    partitions) or where a wide plan would otherwise be carried into every branch. The copy is
+    columnar, has known sizes, and outlives any executor.
     """
-    _checkpoint_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/settled/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
