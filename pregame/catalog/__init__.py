@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["windows"]
+MODULES = ["windows", "games"]
 
 
 def load():

@@ -24,13 +24,18 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
+# Many rates are exact decimals ending in 5; this moves them off the rounding tie, where the last
+# bit of a sum would decide.
+OFF_TIE = 1.7e-8
+
+
 def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """Doubles to `places` digits, so that summation order cannot show. -0.0 becomes 0.0."""
-    doubles = {n: F.round(F.col(n), places) + F.lit(0.0) for n, t in df.dtypes if t == "double"}
+    """Doubles to `places` digits, so that summation order cannot show."""
+    doubles = {n: F.round(F.col(n) + F.lit(OFF_TIE), places) for n, t in df.dtypes if t == "double"}
     return df.withColumns(doubles) if doubles else df
 
 
 def rounded_sql(body: str, columns: Sequence[str], places: int = 6, with_: str = "") -> str:
     head = f"WITH {with_} " if with_ else ""
-    changed = ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in columns)
+    changed = ", ".join(f"round({c} + {OFF_TIE}, {places}) AS {c}" for c in columns)
     return f"{head}SELECT * REPLACE ({changed}) FROM ({body}) AS _t"
