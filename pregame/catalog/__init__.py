@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["windows", "games"]
+MODULES = ["windows", "games", "scoring"]
 
 
 def load():
