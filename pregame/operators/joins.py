@@ -7,7 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pregame.operators.ordered import arrange, previous, prior_last
+from pregame.operators.ordered import (
+    Span,
+    arrange,
+    group_limit,
+    largest_group,
+    previous,
+    prior_last,
+    trailing_range,
+)
 
 
 def require_columns(df: DataFrame, columns: Sequence[str], name: str) -> None:
@@ -149,33 +157,29 @@ def set_continuity(
 
     Adds to every row `returned` (1 or 0: was this member in the previous set) and
     `previous_missing` (how many previous members are gone). Both are NULL where there is no
-    previous unit or its set is empty. Sets are compared by joins, so they may be of any size.
+    previous unit or its set is empty. `unit_size` is the number of distinct members of the row's
+    own unit. Sets are compared by joins, so they may be of any size.
     """
-    members = df.filter(F.col(member).isNotNull()).select(group, unit, member).distinct()
-    counts = members.groupBy(group, unit).agg(F.count(F.lit(1)).alias("_size"))
     units = df.groupBy(group, unit).agg(*[F.min(o).alias(o) for o in order])
-    units = units.join(counts, [group, unit], "left").fillna(0, ["_size"])
-    by_id = [F.col(unit).try_cast("bigint"), F.col(unit)]
-    laid = arrange(units, [group], [*order, *by_id], group_rows, sized_by)
-    units = laid.add({"_before": previous(unit), "_before_size": previous("_size")}).done()
-    units = units.select(group, unit, "_before", F.when(F.col("_before_size") > 0, F.col("_before_size")).alias("_before_size"))
-
-    earlier = members.select(F.col(group).alias("_g"), F.col(unit).alias("_u"), F.col(member).alias("_m"), F.lit(1.0).alias("_hit"))
-    now = members.join(units, [group, unit]).join(
-        earlier,
-        (F.col(group) == F.col("_g")) & (F.col("_before") == F.col("_u")) & (F.col(member) == F.col("_m")),
-        "left",
-    ).select(group, unit, member, "_before_size", F.coalesce("_hit", F.lit(0.0)).alias("_hit"))
-    kept = now.groupBy(group, unit).agg(F.sum("_hit").alias("_kept"))
-    per_unit = units.join(kept, [group, unit], "left").select(
-        group, unit, "_before_size",
-        (F.col("_before_size") - F.coalesce("_kept", F.lit(0.0))).alias("previous_missing"),
+    size = largest_group(df if sized_by is None else sized_by, [group])
+    laid = arrange(units, [group], [*order, F.col(unit).try_cast("bigint"), F.col(unit)], group_rows, size)
+    places = laid.df.select(group, unit, laid.position().alias("_no"))
+    rows = df.join(places, [group, unit], "left").withColumn("_one", F.when(F.col(member).isNotNull(), 1.0))
+    # A member returns when it also has a row exactly one unit earlier.
+    spans = {"_before": Span("_one", -1, -1), "_repeats": Span("_one", 0, 0)}
+    seen = trailing_range(rows, [group, member], "_no", spans, group_rows, df if size > group_limit(df, group_rows) else size)
+    share = F.when(F.col("_one").isNotNull(), 1.0 / F.col("_repeats"))
+    per_unit = seen.groupBy(group, unit).agg(
+        F.max("_no").alias("_no"),
+        F.round(F.coalesce(F.sum(share), F.lit(0.0))).alias("unit_size"),
+        F.round(F.coalesce(F.sum(F.when(F.col("_before") > 0, share)), F.lit(0.0))).alias("_kept"),
     )
-    out = df.join(per_unit, [group, unit], "left").join(
-        now.select(group, unit, member, "_hit"), [group, unit, member], "left"
-    )
-    returned = F.when(F.col("_before_size").isNotNull(), F.coalesce("_hit", F.lit(0.0)))
-    return out.withColumn("returned", returned).drop("_hit", "_before_size")
+    per_unit = arrange(per_unit, [group], ["_no"], group_rows, size).add({"_had": previous("unit_size")}).done()
+    had = F.when(F.col("_had") > 0, F.col("_had"))
+    per_unit = per_unit.select(group, unit, "unit_size", (had - F.col("_kept")).alias("previous_missing"))
+    out = seen.join(per_unit, [group, unit], "left")
+    returned = F.when(F.col("previous_missing").isNotNull(), (F.col("_before") > 0).cast("double"))
+    return out.withColumn("returned", returned).drop("_no", "_one", "_before", "_repeats")
 
 
 def compare_to_baseline(

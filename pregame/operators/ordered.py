@@ -296,26 +296,39 @@ def days_ago(column: str, days: float) -> Span:
     return Span(column, -int(days * DAY_MICROS), -int(days * DAY_MICROS))
 
 
-def trailing_time(
+def trailing_range(
     df: DataFrame,
     keys: Sequence[str],
-    ts: str,
+    axis: str,
     spans: dict[str, Span],
-    calendar_days: bool = False,
     group_rows: int | None = None,
     sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
-    """Sums over spans of earlier time per group; an empty span gives 0."""
-    moment = F.col(ts).cast("timestamp")
-    timed = df.withColumn("_t", F.unix_micros(F.date_trunc("day", moment) if calendar_days else moment))
+    """Sums over spans of a whole-number axis per group; an empty span gives 0."""
     if largest_group(df if sized_by is None else sized_by, keys) > group_limit(df, group_rows):
-        return _trailing_by_prefix(timed, keys, spans, group_rows).drop("_t")
-    by_time = Window.partitionBy(*keys).orderBy("_t")
+        return _trailing_by_prefix(df.withColumn("_t", F.col(axis)), keys, spans, group_rows).drop("_t")
+    along = Window.partitionBy(*keys).orderBy(axis)
     sums = [
-        F.coalesce(F.sum(s.column).over(by_time.rangeBetween(s.start, s.end)), F.lit(0.0)).alias(name)
+        F.coalesce(F.sum(s.column).over(along.rangeBetween(s.start, s.end)), F.lit(0.0)).alias(name)
         for name, s in spans.items()
     ]
-    return timed.select("*", *sums).drop("_t")
+    return df.select("*", *sums)
+
+
+def trailing_time(
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    spans: dict[str, Span],
+    calendar_days: bool = False,
+    group_rows: int | None = None,
+    sized_by: DataFrame | int | None = None,
+) -> DataFrame:
+    """Sums over spans of earlier time (microseconds) per group; an empty span gives 0."""
+    moment = F.col(ts).cast("timestamp")
+    timed = df.withColumn("_micros", F.unix_micros(F.date_trunc("day", moment) if calendar_days else moment))
+    sized_by = df if sized_by is None else sized_by
+    return trailing_range(timed, keys, "_micros", spans, group_rows, sized_by).drop("_micros")
 
 
 def _trailing_by_prefix(
