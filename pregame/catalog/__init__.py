@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["windows", "games", "scoring"]
+MODULES = ["windows", "games", "scoring", "learning"]
 
 
 def load():
