@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["windows", "games", "scoring", "learning"]
+MODULES = ["windows", "games", "scoring", "learning", "texts"]
 
 
 def load():
