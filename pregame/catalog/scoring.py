@@ -356,3 +356,47 @@ def external_game_ids(spark, folder):
         F.concat(F.lit("H"), F.col("o_custkey") % 9).alias("home_team"), F.concat(F.lit("A"), F.col("o_orderkey") % 9).alias("away_team"),
     )
     return I.external_game_ids(provider, games).select("external_game_id", "game_id")
+
+
+# -- reviews and stability -----------------------------------------------------------------
+
+
+@query(rounded_sql("""SELECT game_id, eh + ea > 8 AS picked_home, hs <> as_ AS review_scored, CASE WHEN hs > as_ THEN 'H' WHEN as_ > hs THEN 'A' ELSE '' END AS review_actual_winner,
+  CASE WHEN hs <> as_ THEN (eh + ea > 8) = (hs > as_) END AS review_win_correct, abs(eh + ea - hs - as_) AS review_total_abs_error FROM t""",
+  ["review_total_abs_error"], with_=TOTALS))
+def prediction_review(spark, folder):
+    from pregame.plans.predictions import review
+
+    t = _totals(spark, folder)
+    home = F.col("expected_home_runs") + F.col("expected_away_runs") > 8
+    predictions = t.select("game_id", F.lit("H").alias("home_team"), F.lit("A").alias("away_team"), F.when(home, "H").otherwise("A").alias("win_pick"),
+                           home.alias("picked_home"), F.col("expected_home_runs").alias("pred_home_score"), F.col("expected_away_runs").alias("pred_away_score"))
+    out = review(predictions, t.select("game_id", "home_score", "away_score"))["review"]
+    return rounded(out.select("game_id", "picked_home", "review_scored", "review_actual_winner", "review_win_correct", "review_total_abs_error"))
+
+
+@query(rounded_sql("""SELECT feature, count(DISTINCT season) AS top_count, avg(rank) AS mean_rank, avg(v) AS mean_value FROM (
+  SELECT *, row_number() OVER (PARTITION BY season ORDER BY v DESC, feature) AS rank FROM (
+    SELECT year(o_orderdate) AS season, CAST(o_custkey % 100 AS VARCHAR) AS feature, sum(floor(o_totalprice)) AS v FROM orders GROUP BY ALL))
+  WHERE rank <= 20 GROUP BY feature""", ["mean_rank", "mean_value"]))
+def feature_stability(spark, folder):
+    from pregame.plans.predictions import top_stability
+
+    rows = read(spark, folder, "orders").groupBy(
+        F.year("o_orderdate").alias("holdout_season"), (F.col("o_custkey") % 100).cast("string").alias("feature")
+    ).agg(F.sum(F.floor("o_totalprice").cast("double")).alias("importance"))
+    return rounded(top_stability(rows, "importance", 20))
+
+
+@query("""SELECT o_orderkey, array_to_string(list_transform(list_sort(list_filter([
+  {'s': abs(a), 't': 'sp_fip_diff:' || CASE WHEN a >= 0 THEN 'home' ELSE 'away' END}, {'s': abs(b), 't': 'lineup_woba_diff:' || CASE WHEN b >= 0 THEN 'home' ELSE 'away' END},
+  {'s': abs(c), 't': 'team_woba_diff:' || CASE WHEN c >= 0 THEN 'home' ELSE 'away' END}], lambda x: x.s IS NOT NULL), 'DESC')[1:2], lambda x: x.t), ',') AS reasons
+  FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderkey % 11 - 5.0 END AS a, o_custkey % 7 - 3.0 AS b, o_custkey % 13 - 6.0 AS c FROM orders)""")
+def key_reasons(spark, folder):
+    from pregame.plans.predictions import key_reasons as reasons
+
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    rows = read(spark, folder, "orders").select("o_orderkey", F.when(k % 4 != 0, k % 11 - 5.0).alias("sp_fip_diff"),
+                                                (c % 7 - 3.0).alias("lineup_woba_diff"), (c % 13 - 6.0).alias("team_woba_diff"))
+    picked = reasons(["sp_fip_diff", "lineup_woba_diff", "team_woba_diff"], 2)
+    return rows.select("o_orderkey", F.array_join(picked, ",").alias("reasons"))
