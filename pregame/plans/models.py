@@ -110,9 +110,9 @@ def _classifier(name: str, n_rows: int, n_features: int, seed: int, weight: str
     if name in FORESTS:
         return False, RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, **FORESTS[name], **shared, **weighted)
     if name in BOOSTED:
-        del shared["probabilityCol"], shared["rawPredictionCol"]
-        return False, GBTClassifier(seed=seed, probabilityCol="_probability", rawPredictionCol="_raw_prediction",
-                                    **BOOSTED[name], **shared, **weighted)
+        columns = {c: shared[c] for c in ("featuresCol", "labelCol", "predictionCol")}
+        trees = GBTClassifier(seed=seed, **BOOSTED[name], **columns, **weighted)
+        return False, trees.setProbabilityCol("_probability").setRawPredictionCol("_raw_prediction")
     if name == "mlp":
         return True, MultilayerPerceptronClassifier(layers=[n_features, 96, 48, 2], maxIter=200, seed=seed, **shared)
     raise ModelUnavailable(f"unknown model name: {name}")
