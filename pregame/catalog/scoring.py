@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.catalog.base import query, rounded, rounded_sql
+from pregame.catalog import tables as G
 from pregame.catalog.tables import read
 from pregame.functions import scalars as C
 from pregame.operators import events as E
@@ -257,6 +258,33 @@ def rows_per_source_and_mode(spark, folder):
     return Q.mode_counts(read(spark, folder, "documents"), ["source", "lang"])
 
 
+_COVER = "SELECT '{n}' AS metric, CAST({v} AS DOUBLE) AS value, {p} AS percent FROM c"
+_SHARE = "round_even(CAST({v} AS DOUBLE) / games * 100.0, 1)"
+_METRICS_OF = {
+    "scheduled_games": ("games", None), "covered_games": ("a", "s"), "batting_log_games": ("b", "s"), "pitching_log_games": ("p", "s"), "lineup_games": ("l", "s"),
+    "batting_rows": ("br", None), "pitching_rows": ("pr", None), "lineup_rows": ("lr", None), "games_with_home_starter": ("games", "s"), "games_with_away_starter": ("aw", "s"),
+    "player_id_missing": ("0", "0.0"), "mean_lineup_rows": ("m", None), "games_with_18_lineup_rows": ("f", None), "games_with_two_starters": ("t", None),
+}
+
+
+def _cover(n, v, p):
+    return _COVER.format(n=n, v=v, p="CAST(NULL AS DOUBLE)" if p is None else p if p != "s" else _SHARE.format(v=v))
+
+
+@query(f"""WITH {G.GAMES_SQL}, {G.BATTING_SQL}, {G.PITCHING_SQL}, {G.LINEUPS_SQL},
+  lg AS (SELECT game_id, count(*) AS n FROM lineups GROUP BY 1), pg AS (SELECT game_id, sum(is_start) AS s FROM pitcher_logs GROUP BY 1),
+  c AS (SELECT (SELECT count(*) FROM games) AS games, (SELECT count(*) FROM games WHERE game_no % 2 = 0) AS aw,
+   (SELECT count(*) FROM (SELECT game_id FROM batting_logs UNION SELECT game_id FROM pitcher_logs UNION SELECT game_id FROM lineups)) AS a,
+   (SELECT count(DISTINCT game_id) FROM batting_logs) AS b, (SELECT count(DISTINCT game_id) FROM pitcher_logs) AS p, (SELECT count(*) FROM lg) AS l,
+   (SELECT count(*) FROM batting_logs) AS br, (SELECT count(*) FROM pitcher_logs) AS pr, (SELECT count(*) FROM lineups) AS lr,
+   (SELECT round_even(avg(n), 2) FROM lg) AS m, (SELECT count(*) FROM lg WHERE n >= 18) AS f, (SELECT count(*) FROM pg WHERE s = 2) AS t)
+  """ + " UNION ALL ".join(_cover(n, *vp) for n, vp in _METRICS_OF.items()))
+def schedule_coverage(spark, folder):
+    even = F.col("game_id").cast("bigint") % 2 == 0
+    games = G.games(spark, folder).select("game_id", "home_sp_id", F.when(even, F.col("away_sp_id")).otherwise(" ").alias("away_sp_id"))
+    return Q.coverage_report(games, G.batting_logs(spark, folder), G.pitcher_logs(spark, folder), G.lineups(spark, folder))
+
+
 # -- events --------------------------------------------------------------------------------
 
 

@@ -122,13 +122,6 @@ def two_sided(
     return spread.select(*carry, *[F.col("_side")[n].alias(n) for n in names])
 
 
-def check_unique(df: DataFrame, keys: Sequence[str], name: str) -> None:
-    """Fail if a join key repeats, as it would multiply the rows it is joined to."""
-    repeated = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).collect()
-    if repeated:
-        raise ValueError(f"{name} has more than one row for {repeated[0].asDict()}")
-
-
 def join_two_sided(base: DataFrame, block: DataFrame, key: str, home: str, away: str, member: str) -> DataFrame:
     """Attach `block` (one row per `key`, `member`) to the home and to the away side.
 

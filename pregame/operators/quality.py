@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pregame.functions.scalars import is_missing_text
+from pregame.functions.scalars import is_missing_text, number, percent, zero_filled
 from pregame.operators.joins import require_columns
 from pregame.operators.ordered import running_columns, prior_sum
 
@@ -161,12 +161,53 @@ def distinct_coverage(tables: dict[str, DataFrame], key: str, base: DataFrame) -
     )
 
 
+def coverage_report(games: DataFrame, batting: DataFrame, pitching: DataFrame, lineups: DataFrame) -> DataFrame:
+    """(metric, value, percent) of how much of a schedule the canonical tables cover.
+
+    Each table is reduced to one row per game first; everything after works on those rows.
+    """
+    require_columns(games, ["game_id", "home_sp_id", "away_sp_id"], "games")
+    one = F.lit(1)
+
+    def per_game(df: DataFrame, kind: str, starts: bool = False) -> DataFrame:
+        flagged = F.count_if(F.col("is_start") == 1) if starts else F.lit(0).cast("bigint")
+        return df.filter(F.col("game_id").isNotNull()).groupBy("game_id").agg(
+            F.lit(kind).alias("kind"), F.count(one).alias("n"), flagged.alias("starts"),
+            F.count_if(is_missing_text("player_id")).alias("unknown"))
+
+    parts = per_game(batting, "batting").unionByName(per_game(pitching, "pitching", True)).unionByName(per_game(lineups, "lineup"))
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, F.col(value)))
+    wide = parts.groupBy("game_id").agg(
+        of("batting", "n").alias("b"), of("pitching", "n").alias("p"), of("lineup", "n").alias("l"),
+        of("pitching", "starts").alias("s"), F.sum("n").alias("rows"), F.sum("unknown").alias("unknown"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("double")
+    logs = wide.agg(
+        F.count(one).cast("double").alias("any"), F.count("b").cast("double").alias("b"), F.count("p").cast("double").alias("p"),
+        F.count("l").cast("double").alias("l"), total("b").alias("br"), total("p").alias("pr"), total("l").alias("lr"),
+        F.count_if(F.col("l") >= 18).cast("double").alias("full"), F.count_if(F.col("s") == 2).cast("double").alias("two"),
+        total("unknown").alias("unknown"), total("rows").alias("rows"), F.coalesce(F.bround(F.avg("l"), 2), F.lit(0.0)).alias("mean"))
+    plan = games.agg(
+        F.count(one).cast("double").alias("games"), F.count_if(~is_missing_text("home_sp_id")).cast("double").alias("h"),
+        F.count_if(~is_missing_text("away_sp_id")).cast("double").alias("a"))
+    share = lambda name, c: (name, F.col(c), percent(c, "games"))
+    plain = lambda name, c: (name, F.col(c), F.lit(None).cast("double"))
+    metrics = [
+        plain("scheduled_games", "games"), share("covered_games", "any"), share("batting_log_games", "b"), share("pitching_log_games", "p"),
+        share("lineup_games", "l"), plain("batting_rows", "br"), plain("pitching_rows", "pr"), plain("lineup_rows", "lr"),
+        share("games_with_home_starter", "h"), share("games_with_away_starter", "a"), ("player_id_missing", F.col("unknown"), percent("unknown", "rows")),
+        plain("mean_lineup_rows", "mean"), plain("games_with_18_lineup_rows", "full"), plain("games_with_two_starters", "two"),
+    ]
+    cells = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value"), q.alias("percent")) for n, v, q in metrics])
+    # both sides are single rows by construction
+    return logs.join(plan).select(F.explode(cells).alias("m")).select("m.*")
+
+
 def zero_or_blank_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Share of rows where a stat is missing, blank or zero."""
+    """Share of rows where a stat is missing, not a number, or zero."""
     measures = [
         F.struct(
             F.lit(c).alias("column"),
-            F.avg((is_missing_text(c) | (F.col(c).cast("string").try_cast("double") == 0)).cast("double")).alias("rate"),
+            F.avg((zero_filled(number(F.col(c).cast("string"))) == 0).cast("double")).alias("rate"),
         )
         for c in columns
     ]
