@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import line_dedup
+from pregame.llm import line_dedup, mixing, sharding
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -32,3 +32,20 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     batches = line_dedup.file_batches(table(spark, folder, "documents"), 4)
     kept = line_dedup.dedup_lines(batches, min_docs=10, fanout=2)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query()
+def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents mixed by weights 1, 2, 3, from blocks of 128 words, at most 3 times each."""
+    out, _ = mixing.mix(table(spark, folder, "documents"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+@query()
+def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes, through 4096 virtual slots."""
+    placed, _ = sharding.place(table(spark, folder, "documents"), 16)
+    return placed.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
