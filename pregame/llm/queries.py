@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import line_dedup, mixing, sharding
+from pregame.llm import line_dedup, mixing, quality, sharding
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -34,6 +34,14 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Base rules and robust outliers per language and source."""
+    return quality.judge(table(spark, folder, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        "distance", "outlier")
+
+
 @query()
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by weights 1, 2, 3, from blocks of 128 words, at most 3 times each."""
