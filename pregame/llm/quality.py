@@ -109,7 +109,7 @@ def statistics() -> dict[str, tuple[Column, float]]:
     return {
         "length": (F.log(n), 0.25),
         "word_length": (F.log(chars / n), 0.01),
-        "symbols": (share("n_symbols", chars), 0.25),
+        "symbols": (share("n_symbols", chars), 0.12),
         "marks": (F.sqrt(F.col("n_marks") / n), 0.01),
         "capitals": (F.sqrt(F.col("n_capitals") / chars), 0.005),
         "repeats": (share("n_repeat_words", n), 1.0),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import line_dedup, mixing, quality, sharding
+from pregame.llm import line_dedup, mixing, quality, sharding, toxicity
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -34,6 +34,16 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """A lexicon learned from labels that are not held out, applied to all documents."""
+    docs = table(spark, folder, "documents")
+    lexicon = toxicity.learn(docs, toxicity.train_labels(table(spark, folder, "labels")))
+    scored = toxicity.score(docs, lexicon)
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 @query()
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and robust outliers per language and source."""
