@@ -143,7 +143,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
         sources.filter("slots > 0").select("sid", "slots", "blocks")
         .mapInPandas(_draws(shards, seed), "sid long, out_shard int, first long, count long, blocks long")
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(count - 1) div {chunk}"))))
-        .repartition("sid", "out_shard", "chunk")
+        .repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "sid", "out_shard", "chunk")
         .select("sid", "out_shard", "blocks", F.explode(F.sequence(
             F.col("first") + F.col("chunk") * chunk,
             F.least(F.col("first") + F.col("count"), F.col("first") + (F.col("chunk") + 1) * chunk) - 1)).alias("slot"))
@@ -158,8 +158,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
                 (F.greatest(F.col("block") * block_words, F.col("start")) - F.col("start")).alias("from"),
                 (F.least((F.col("block") + 1) * block_words, F.col("start") + F.col("size")) - F.col("start")).alias("to"))
     )
+    # Catalyst sees a few rows per source below the slots and would broadcast them all.
     taken = (
-        parts.join(times, ["sid", "block"])
+        parts.join(times.hint("merge"), ["sid", "block"])
         .groupBy("key_a", "key_b", "copy").agg(
             F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"),
             F.sort_array(F.collect_list(F.struct("from", "to", "times"))).alias("pieces"))
