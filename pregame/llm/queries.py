@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import line_dedup, mixing, quality, sharding, toxicity
+from pregame.llm import decontamination, line_dedup, mixing, quality, sharding, toxicity
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -44,6 +44,12 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
                          (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+@query()
+def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold a benchmark item, up to 12% of edits."""
+    return decontamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Base rules and robust outliers per language and source."""
