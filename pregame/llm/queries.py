@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import decontamination, line_dedup, mixing, quality, sharding, toxicity
+from pregame.llm import decontamination, line_dedup, mixing, quality, sharding, substring_dedup, toxicity
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -34,6 +34,13 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Words under a 50-word window that starts in an earlier document go; levels of 25 and 50 words."""
+    kept = substring_dedup.remove_repeats(table(spark, folder, "documents"), 50, 25)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query()
 def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """A lexicon learned from labels that are not held out, applied to all documents."""
