@@ -24,7 +24,7 @@ PIECE_BYTES = 1_000_000
 def prepare(spark: SparkSession) -> SparkSession:
     """Session settings of the operators: small Arrow batches, so that long texts fit a worker."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
     return spark
 

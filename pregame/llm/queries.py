@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import decontamination, line_dedup, mixing, quality, sharding, substring_dedup, toxicity
+from pregame.llm import decontamination, jaccard, line_dedup, mixing, quality, sharding, substring_dedup, toxicity
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -65,6 +65,12 @@ def op6_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
         "distance", "outlier")
 
 
+@query()
+def op7_ngram_jaccard(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose 4-word shingles have a Jaccard similarity of 0.85 or more."""
+    return jaccard.similar_sets(table(spark, folder, "documents"), 4, 85)
+
+
 @query()
 def op8_mixing(spark: SparkSession, folder: str) -> DataFrame:
     """All documents mixed by weights 1, 2, 3, from blocks of 128 words, at most 3 times each."""
