@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import decontamination, jaccard, line_dedup, mixing, quality, sharding, substring_dedup, toxicity
+from pregame.llm import decontamination, jaccard, line_dedup, mixing, pii, quality, sharding, substring_dedup, toxicity, warc
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -34,6 +34,12 @@ def op1_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query()
+def op2_pii(spark: SparkSession, folder: str) -> DataFrame:
+    """Base spans and what the trees add, over all documents."""
+    return pii.digest(pii.redactions(table(spark, folder, "documents")))
+
+
 @query()
 def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Words under a 50-word window that starts in an earlier document go; levels of 25 and 50 words."""
@@ -86,3 +92,27 @@ def op9_sharding(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query(sql="""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
+d AS (SELECT page_id, octet_length(payload) AS payload_bytes, sha1(payload) AS sha FROM p),
+k AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS keeper FROM d),
+letters AS (
+  SELECT sha, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', v + 1, 1), '' ORDER BY i) AS payload_digest
+  FROM (SELECT sha, i, list_sum(list_transform(range(5), lambda b: ((
+          (instr('0123456789abcdef', substr(sha, ((5 * i + b) // 4 + 1)::INT, 1)) - 1) >> (3 - (5 * i + b) % 4)) & 1) << (4 - b)))::INT AS v
+        FROM (SELECT DISTINCT sha FROM d), range(32) r(i))
+  GROUP BY sha
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = keeper THEN NULL ELSE keeper END AS refers_to
+FROM k JOIN letters USING (sha)
+""")
+def op10_warc_index(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages written as WARC records and read back through the index."""
+    pages = table(spark, folder, "pages")
+    archive = warc.write_archive(pages)
+    found = warc.look_up(archive, pages.select("url", "page_id"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
