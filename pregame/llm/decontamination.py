@@ -192,8 +192,12 @@ def build(rows: list[tuple[int, str]], edits: float, q_sizes: tuple[int, ...], m
 
 
 def _search(rows: list[tuple[int, str]], edits: float, q_sizes: tuple[int, ...], min_chars: int):
+    made: list = []
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blocks, short = build(rows, edits, q_sizes, min_chars)
+        if not made:
+            made.append(build(rows, edits, q_sizes, min_chars))
+        blocks, short = made[0]
         # So many characters between two texts that no region reaches over them.
         gap = "\x00" * (max([i.budget for b in blocks for i in b.items], default=0) + 2)
         for batch in pieces(batches):
@@ -251,3 +255,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.12, q_s
         part = d.mapInArrow(_search(rows, edits, q_sizes, min_chars), SCHEMA)
         out = part if out is None else out.unionByName(part)
     return out if out is not None else spark.createDataFrame([], SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, edits: float = 0.12, q_sizes: tuple[int, ...] = (3, 4, 5, 6),
+                      min_chars: int = 40, block_chars: int = 2_000_000) -> DataFrame:
+    """The rows of `docs`, with their columns, that hold no item; texts stay where they are, one pass per block."""
+
+    def without(rows: list[tuple[int, str]]):
+        search = _search(rows, edits, q_sizes, min_chars)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in pieces(batches):
+                numbered = pa.RecordBatch.from_arrays([pa.array(range(b.num_rows), pa.int64()), b.column("text")], names=["doc_id", "text"])
+                keep = np.ones(b.num_rows, bool)
+                for found in search(iter([numbered])):
+                    keep[found.column("doc_id").to_numpy()] = False
+                yield b.filter(pa.array(keep))
+
+        return run
+
+    for rows in item_blocks(benchmark, block_chars):
+        docs = docs.mapInArrow(without(rows), docs.schema)
+    return docs

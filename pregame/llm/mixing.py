@@ -19,6 +19,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from pregame.llm.common import row_key, settle, tidy
+from pregame.llm.common import DOCUMENTS, row_key, settle, tidy
 
 WORD = r"[^\x20\x09-\x0D]+"
 COLUMNS = {"doc_id": "bigint", "text": "string", "source": "string"}
@@ -172,3 +173,50 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most: int
                 F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "pieces")
     )
     return out, dealt
+
+
+_word = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def _texts(columns: list[str], most: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            rows = []
+            for r in b.to_dict("records"):
+                text, ends = r["text"], None
+                for turn in range(most):
+                    parts = [(p["from"], p["to"]) for p in r["pieces"] if p["times"] > turn]
+                    if not parts:
+                        break
+                    merged = [list(parts[0])]
+                    for start, end in parts[1:]:
+                        if start == merged[-1][1]:
+                            merged[-1][1] = end
+                        else:
+                            merged.append([start, end])
+                    if merged == [[0, r["size"]]]:
+                        cut = text
+                    else:
+                        ends = ends or [m.span() for m in _word.finditer(text)]
+                        cut = "\n".join(text[ends[s][0]:ends[e - 1][1]] for s, e in merged)
+                    rows.append({**{c: r[c] for c in columns}, "text": cut, "n_chars": len(cut)})
+            if not rows:
+                continue
+            out = pd.DataFrame(rows, columns=columns)
+            yield out.astype({c: "Int64" for c in ("doc_id", "n_chars") if c in columns})
+
+    return run
+
+
+def mixed_texts(docs: DataFrame, most: int = 3, **options) -> DataFrame:
+    """The mix as rows with the columns of documents: one row for each time that words of a document are taken,
+    with the words taken then (the text itself where all are)."""
+    d = tidy(docs, DOCUMENTS)
+    out, _ = mix(d, most=most, **options)
+    taken = out.filter("taken > 0").select("key_a", "key_b", "size", "pieces")
+    texts = d.select("*", *row_key("doc_id", "source", "text")).dropDuplicates(["key_a", "key_b"])
+    schema = ", ".join(f"{c} {t}" for c, t in DOCUMENTS.items())
+    return (
+        texts.join(taken.hint("merge"), ["key_a", "key_b"])
+        .select(*DOCUMENTS, "size", "pieces").mapInPandas(_texts(list(DOCUMENTS), most), schema)
+    )

@@ -29,10 +29,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pregame.llm.common import settle, tidy
+from pregame.llm.common import pieces, settle, tidy
 
 # Cyrillic and Greek letters that look like Latin ones, and signs written for letters.
 LOOK_ALIKES = dict(zip("аеорсухкмтнвіјѕԁɡαβεικνορτυχ", "aeopcyxkmthbijsdgabeiknoptux"))
@@ -148,6 +149,8 @@ def _count(shortest: int, longest: int):
                 every.update(found)
                 if label:
                     toxic.update(found)
+            if not every:
+                continue
             yield pd.DataFrame({"pattern": [p for p, _ in every], "half": [h for _, h in every],
                                 "docs": list(every.values()), "toxic": [toxic[k] for k in every]})
 
@@ -185,6 +188,8 @@ def _phrases(lexicon: Lexicon):
                 every.update(pairs)
                 if label:
                     toxic.update(pairs)
+            if not every:
+                continue
             yield pd.DataFrame({"phrase": list(every), "docs": list(every.values()), "toxic": [toxic[p] for p in every]})
 
     return collect
@@ -247,17 +252,15 @@ def score(docs: DataFrame, lexicon: Lexicon, keep: dict[str, str] | None = None)
     keep = keep or {"doc_id": "bigint"}
     b0, b1, b2 = lexicon.curve
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = lexicon.automaton()
-        for b in batches:
-            found = [features(automaton, t) for t in b["_scanned"]]
-            out = b.drop(columns="_scanned")
-            out["score"] = [1 / (1 + math.exp(-max(-40.0, min(40.0, b0 + b1 * x + b2 * y)))) for x, y in found]
-            yield out
-
-    d = tidy(docs, {**keep, "text": "string"}) if "text" not in keep else tidy(docs, keep)
-    d = d.select(*keep, F.col("text").alias("_scanned"))
-    return d.mapInPandas(run, ", ".join(f"{n} {t}" for n, t in keep.items()) + ", score double")
+        for b in pieces(batches):
+            found = [features(automaton, t) for t in b.column("text").to_pylist()]
+            scores = [1 / (1 + math.exp(-max(-40.0, min(40.0, b0 + b1 * x + b2 * y)))) for x, y in found]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in keep], pa.array(scores, pa.float64())], names=[*keep, "score"])
+
+    d = tidy(docs, {**keep, "text": "string"})
+    return d.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in keep.items()) + ", score double")
 
 
 def held_out(doc_id: str | Column = "doc_id") -> Column:

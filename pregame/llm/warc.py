@@ -248,6 +248,8 @@ def _parts_of(bounds: list[tuple]):
                 while k < len(bounds) and (bounds[k][1], bounds[k][2]) <= (key, high):
                     rows.append((bounds[k][0], key, low, high))
                     k += 1
+            if not rows:
+                continue
             yield pd.DataFrame(rows, columns=["part", "key", "low", "high"])
 
     return run
