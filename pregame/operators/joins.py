@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 from pregame.operators.ordered import (
     Span,
     arrange,
-    group_limit,
-    largest_group,
     previous,
     prior_last,
     trailing_range,
@@ -38,7 +36,6 @@ def asof_strict(
     columns: Sequence[str],
     tie: str | None = None,
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """For each left row the latest right row of the same key with a strictly earlier instant.
 
@@ -58,7 +55,7 @@ def asof_strict(
         *keys, micros.alias("_t"), F.lit(1).alias("_side"), tie_of.alias("_tie"), found.alias("_found"),
     )
     both = seekers.unionByName(history, allowMissingColumns=True)
-    laid = arrange(both, keys, ["_t", "_side", "_tie"], group_rows, sized_by).add({"_match": prior_last("_found")})
+    laid = arrange(both, keys, ["_t", "_side", "_tie"], group_rows).add({"_match": prior_last("_found")})
     kept = laid.done().filter(F.col("_side") == 0)
     own = [F.col("_left")[c].alias(c) for c in left.columns if c not in columns]
     return kept.select(*own, *[F.col("_match")[c].alias(c) for c in columns])
@@ -144,7 +141,6 @@ def set_continuity(
     order: Sequence[str],
     member: str,
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Compare each unit's member set with the set of the unit before it in the same group.
 
@@ -154,20 +150,19 @@ def set_continuity(
     own unit. Sets are compared by joins, so they may be of any size.
     """
     units = df.groupBy(group, unit).agg(*[F.min(o).alias(o) for o in order])
-    size = largest_group(df if sized_by is None else sized_by, [group])
-    laid = arrange(units, [group], [*order, F.col(unit).try_cast("bigint"), F.col(unit)], group_rows, size)
+    laid = arrange(units, [group], [*order, F.col(unit).try_cast("bigint"), F.col(unit)], group_rows)
     places = laid.df.select(group, unit, laid.position().alias("_no"))
     rows = df.join(places, [group, unit], "left").withColumn("_one", F.when(F.col(member).isNotNull(), 1.0))
     # A member returns when it also has a row exactly one unit earlier.
     spans = {"_before": Span("_one", -1, -1), "_repeats": Span("_one", 0, 0)}
-    seen = trailing_range(rows, [group, member], "_no", spans, group_rows, df if size > group_limit(df, group_rows) else size)
+    seen = trailing_range(rows, [group, member], "_no", spans, group_rows)
     share = F.when(F.col("_one").isNotNull(), 1.0 / F.col("_repeats"))
     per_unit = seen.groupBy(group, unit).agg(
         F.max("_no").alias("_no"),
         F.round(F.coalesce(F.sum(share), F.lit(0.0))).alias("unit_size"),
         F.round(F.coalesce(F.sum(F.when(F.col("_before") > 0, share)), F.lit(0.0))).alias("_kept"),
     )
-    per_unit = arrange(per_unit, [group], ["_no"], group_rows, size).add({"_had": previous("unit_size")}).done()
+    per_unit = arrange(per_unit, [group], ["_no"], group_rows).add({"_had": previous("unit_size")}).done()
     had = F.when(F.col("_had") > 0, F.col("_had"))
     per_unit = per_unit.select(group, unit, "unit_size", (had - F.col("_kept")).alias("previous_missing"))
     out = seen.join(per_unit, [group, unit], "left")

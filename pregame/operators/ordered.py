@@ -1,11 +1,11 @@
 """Windows over "everything strictly before this row", safe for very large groups.
 
-`arrange` looks at the size of the largest group first. Groups that fit one task use ordinary
-Spark windows: one exchange and one sort, however many columns are asked for. When any group is
-larger than `group_rows`, rows are numbered by a distributed range sort and every group is cut
-into chunks of at most that many rows. Row frames then see the last rows of the chunk before
-(copied over as context), running totals start from the totals of the chunks before. Both ways
-give the same rows and the same values.
+`arrange` is lazy and never looks at the data: which way a plan takes depends on the caller alone. By
+default a group is one window partition (Spark streams through it and spills; a player's or team's season
+is short). With `group_rows`, or the setting `pregame.groupRows`, rows are numbered by a distributed range
+sort and every group is cut into chunks of at most that many rows, for keys that may hold a large part of
+all rows. Row frames then see the last rows of the chunk before (copied over as context), running totals
+start from the totals of the chunks before.
 """
 
 from __future__ import annotations
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 from pregame.functions.scalars import DAY_MICROS, col
 from pregame.session import settle
 
-GROUP_ROWS = 4_000_000
 GROUP_ROWS_SETTING = "pregame.groupRows"
 
 _POSITION, _CHUNK, _CONTEXT, _PART = "_position", "_chunk", "_context", "_part"
@@ -188,20 +187,12 @@ def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str)
     return condition
 
 
-def group_limit(df: DataFrame, group_rows: int | None) -> int:
-    if group_rows is not None:
-        return group_rows
-    return int(df.sparkSession.conf.get(GROUP_ROWS_SETTING, str(GROUP_ROWS)))
-
-
-def largest_group(df: DataFrame | int, keys: Sequence[str]) -> int:
-    """Row count of the largest group: a pre-aggregated count over the key columns only.
-
-    A number is taken as already counted.
-    """
-    if isinstance(df, int):
-        return df
-    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+def group_limit(df: DataFrame, group_rows: int | None) -> int | None:
+    """Rows of a chunk, or None to leave groups whole."""
+    if group_rows is None:
+        named = df.sparkSession.conf.get(GROUP_ROWS_SETTING, None)
+        return None if named is None else int(named)
+    return group_rows
 
 
 def arrange(
@@ -209,17 +200,12 @@ def arrange(
     keys: Sequence[str],
     order: Sequence[str | Column],
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> Arranged:
-    """Lay `df` out by `keys` in the total order `order`.
-
-    `sized_by` is a cheaper frame with the same groups (or their known greatest size), for a `df`
-    that is costly to compute.
-    """
+    """Lay `df` out by `keys` in the total order `order`."""
     limit = group_limit(df, group_rows)
     columns = tuple(col(o) for o in order)
-    if largest_group(df if sized_by is None else sized_by, keys) <= limit:
-        return Arranged(df, tuple(keys), columns, limit, False)
+    if limit is None:
+        return Arranged(df, tuple(keys), columns, 0, False)
     return Arranged(_numbered(df, tuple(keys), columns, limit), tuple(keys), columns, limit, True)
 
 
@@ -302,10 +288,9 @@ def trailing_range(
     axis: str,
     spans: dict[str, Span],
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Sums over spans of a whole-number axis per group; an empty span gives 0."""
-    if largest_group(df if sized_by is None else sized_by, keys) > group_limit(df, group_rows):
+    if group_limit(df, group_rows) is not None:
         return _trailing_by_prefix(df.withColumn("_t", F.col(axis)), keys, spans, group_rows).drop("_t")
     along = Window.partitionBy(*keys).orderBy(axis)
     sums = [
@@ -322,13 +307,11 @@ def trailing_time(
     spans: dict[str, Span],
     calendar_days: bool = False,
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Sums over spans of earlier time (microseconds) per group; an empty span gives 0."""
     moment = F.col(ts).cast("timestamp")
     timed = df.withColumn("_micros", F.unix_micros(F.date_trunc("day", moment) if calendar_days else moment))
-    sized_by = df if sized_by is None else sized_by
-    return trailing_range(timed, keys, "_micros", spans, group_rows, sized_by).drop("_micros")
+    return trailing_range(timed, keys, "_micros", spans, group_rows).drop("_micros")
 
 
 def _trailing_by_prefix(
@@ -369,10 +352,9 @@ def streaks(
     flag: str,
     names: dict[object, str],
     group_rows: int | None = None,
-    sized_by: DataFrame | int | None = None,
 ) -> DataFrame:
     """Length of the current run of equal `flag` values; `names` maps a flag value to its column."""
-    laid = arrange(df, keys, order, group_rows, sized_by)
+    laid = arrange(df, keys, order, group_rows)
     laid = laid.add({"_was": previous(flag)})
     changed = ~F.col(flag).eqNullSafe(F.col("_was")) | F.col("_was").isNull()
     laid = laid._with(laid.df.withColumn("_row", laid.position()))

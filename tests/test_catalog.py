@@ -21,7 +21,7 @@ def test_query_equals_its_twin(spark, name):
 @pytest.mark.parametrize("name", ["prior_sums_and_counts", "rolling_rows", "trailing_days", "status_streaks", "clicks_after_last_purchase",
                                   "part_set_continuity", "team_form", "null_rate_report", "temporal_split"])
 def test_cut_groups_give_the_same_rows(spark, name):
-    """The same check with every group of more than 40 rows cut into chunks."""
+    """The same check with every group cut into chunks of 40 rows."""
     spark.conf.set("pregame.groupRows", "40")
     try:
         assert compare(spark, FOLDER, [name]) == []
