@@ -11,7 +11,8 @@ from pyspark.sql import types as T
 from pregame.functions.scalars import canonical_id, not_nan, number
 from pregame.operators.joins import require_columns
 
-# Column names of the standard tables and the feature table.
+# Fixed values, down to the table definitions: column names of the standard tables and the feature table,
+# the columns that are no features, pick thresholds, and lineup slot weights.
 BATTING_STATS = [
     "at_bats", "hits", "doubles", "triples", "home_runs", "walks",
     "hit_by_pitch", "sacrifice_flies", "total_bases", "plate_appearances", "strikeouts",
