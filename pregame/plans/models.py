@@ -17,12 +17,11 @@ from pyspark.ml.classification import (
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pregame.functions.rates import recency_weight
 from pregame.operators import forecasts as X
-from pregame.operators.ordered import numbered
 from pregame.schemas import TARGET, feature_columns
 from pregame.session import settle
 
@@ -76,10 +75,14 @@ def fold_of(key: str, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folds)).cast("int")
 
 
+# Rank error of the medians that fill gaps; 0 gives exact ones.
+MEDIAN_ERROR = 0.0
+
+
 def _inputs(features: Sequence[str], scaled: bool) -> list:
     filled = [f"_f{i}" for i in range(len(features))]
     stages = [
-        Imputer(strategy="median", relativeError=1e-4, inputCols=list(features), outputCols=filled),
+        Imputer(strategy="median", relativeError=MEDIAN_ERROR, inputCols=list(features), outputCols=filled),
         VectorAssembler(inputCols=filled, outputCol="_raw" if scaled else "_x"),
     ]
     if scaled:
@@ -98,14 +101,14 @@ def _drop_working(df: DataFrame) -> DataFrame:
     return df.drop(*working, "_raw", "_x", "_raw_prediction", "_probability", "_prediction")
 
 
-def _classifier(name: str, n_rows: int, n_features: int, seed: int, weight: str | None):
+def _classifier(name: str, total_weight: float, n_features: int, seed: int, weight: str | None):
     shared = dict(featuresCol="_x", labelCol="_y", predictionCol="_prediction", probabilityCol="_probability",
                   rawPredictionCol="_raw_prediction")
     weighted = dict(weightCol=weight) if weight else {}
     if name in LOGISTIC:
         strength, mix = LOGISTIC[name]
         return True, LogisticRegression(
-            regParam=1.0 / (strength * n_rows), elasticNetParam=mix, standardization=False, maxIter=300, **shared, **weighted
+            regParam=1.0 / (strength * total_weight), elasticNetParam=mix, standardization=False, maxIter=300, **shared, **weighted
         )
     if name in FORESTS:
         return False, RandomForestClassifier(featureSubsetStrategy="sqrt", seed=seed, **FORESTS[name], **shared, **weighted)
@@ -114,6 +117,8 @@ def _classifier(name: str, n_rows: int, n_features: int, seed: int, weight: str
         trees = GBTClassifier(seed=seed, **BOOSTED[name], **columns, **weighted)
         return False, trees.setProbabilityCol("_probability").setRawPredictionCol("_raw_prediction")
     if name == "mlp":
+        if weight:
+            raise ModelUnavailable("mlp takes no weights")
         return True, MultilayerPerceptronClassifier(layers=[n_features, 96, 48, 2], maxIter=200, seed=seed, **shared)
     raise ModelUnavailable(f"unknown model name: {name}")
 
@@ -124,7 +129,9 @@ def model_names() -> list[str]:
 
 def _fit_one(name: str, train: DataFrame, features: Sequence[str], seed: int, weight: str | None, out: str) -> Fitted:
     rows = _doubles(train, features)
-    scaled, estimator = _classifier(name, train.count(), len(features), seed, weight)
+    # Spark divides the loss by the sum of weights, so the penalty must be divided by it too.
+    total = train.count() if weight is None else train.agg(F.sum(weight)).first()[0] or 1.0
+    scaled, estimator = _classifier(name, float(total), len(features), seed, weight)
     model = Pipeline(stages=[*_inputs(features, scaled), estimator]).fit(rows)
     return Fitted(name, tuple(features), _scorer(model, features, out), model)
 
@@ -145,6 +152,8 @@ def fit_classifier(
 ) -> Fitted:
     """Fit a preset or ensemble by name on the scored rows of `train`."""
     rows = train.filter(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
+    if weight and (name in CALIBRATED or name in STACKING):
+        raise ModelUnavailable(f"{name} takes no weights")
     if name in CALIBRATED:
         return _fit_calibrated(name, rows, features, key, seed, out)
     if name in VOTING:
@@ -277,18 +286,32 @@ def importances(fitted: Fitted) -> DataFrame:
 
 def temporal_split(
     df: DataFrame, fraction: float = 0.2, last_rows: int | None = None, date: str = "game_date", key: str = "game_id",
-    target: str = TARGET, group_rows: int | None = None,
+    target: str = TARGET,
 ) -> tuple[DataFrame, DataFrame]:
     """Oldest rows for training, the newest `fraction` (or `last_rows`) for testing."""
     rows = df.filter(F.col(target).isNotNull())
+    order = [F.col(date), F.col(key).try_cast("bigint"), F.col(key)]
+    # Rows per date decide where the cut falls; only that date's keys are put in order.
+    days = rows.groupBy(F.col(date).alias("_d")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy().orderBy("_d").rowsBetween(Window.unboundedPreceding, -1)
+    counted = days.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
     n = rows.count()
     cut = max(1, int(n * (1 - fraction))) if last_rows is None else max(1, n - last_rows)
-    placed = settle(numbered(rows, [], [date, F.col(key).try_cast("bigint"), key], "_place", group_rows))
-    return placed.filter(F.col("_place") <= cut).drop("_place"), placed.filter(F.col("_place") > cut).drop("_place")
+    at = counted.filter((F.col("_before") < cut) & (F.col("_before") + F.col("_n") >= cut)).first()
+    if at is None:
+        return rows, rows.limit(0)
+    on_day = rows.filter(F.col(date).eqNullSafe(F.lit(at["_d"]))).select(*[c.alias(f"_o{i}") for i, c in enumerate(order)])
+    last = on_day.orderBy(*[F.asc(f"_o{i}") for i in range(3)]).limit(cut - at["_before"]).agg(F.max(F.struct(F.col("_o1").isNotNull(), "_o1", "_o2"))).first()[0]
+    here = F.struct(F.col(key).try_cast("bigint").isNotNull(), F.col(key).try_cast("bigint"), F.col(key).cast("string"))
+    bound = F.struct(F.lit(last[0]), F.lit(last[1]).cast("bigint"), F.lit(last[2]).cast("string"))
+    day = F.lit(at["_d"])
+    old = F.when(F.col(date).isNull(), day.isNull() & (here <= bound)).when(F.col(date) < day, True).otherwise((F.col(date) == day) & (here <= bound))
+    old = F.coalesce(old, F.lit(False))
+    return rows.filter(old), rows.filter(~old)
 
 
 def holdout(
-    df: DataFrame, season: int | None = None, target: str = TARGET, group_rows: int | None = None
+    df: DataFrame, season: int | None = None, target: str = TARGET
 ) -> tuple[DataFrame, DataFrame]:
     """Seasons before the held-out one against it; without either side, the newest fifth is held out."""
     rows = df.filter(F.col(target).isNotNull())
@@ -296,7 +319,7 @@ def holdout(
         season = rows.agg(F.max("season")).first()[0]
     train, test = rows.filter(F.col("season") < season), rows.filter(F.col("season") == season)
     if train.isEmpty() or test.isEmpty():
-        return temporal_split(rows, target=target, group_rows=group_rows)
+        return temporal_split(rows, target=target)
     return train, test
 
 

@@ -31,7 +31,7 @@ def test_elo_known_values_and_stream_of_leagues(spark):
 def test_splits(sheet):
     train, test = M.holdout(sheet)
     assert train.count() == 240 and test.count() == 120
-    old, new = M.temporal_split(sheet, group_rows=50)
+    old, new = M.temporal_split(sheet)
     assert (old.count(), new.count()) == (288, 72)
     assert old.agg(F.max("game_date")).first()[0] < new.agg(F.min("game_date")).first()[0]
     assert M.temporal_split(sheet, last_rows=10)[1].count() == 10
