@@ -179,6 +179,53 @@ def model_leaderboard(spark, folder):
     return rounded(X.leaderboard(_metrics(spark, folder), ["model_name"], ["log_loss"]))
 
 
+_VARIANTS = f"""{FORECASTS}, v AS (SELECT variant, model_name, count(*) AS runs, avg(x) AS log_loss_mean, stddev_samp(x) AS log_loss_std, median(x) AS log_loss_median
+  FROM (SELECT 'base' AS variant, model_name, log_loss AS x FROM metrics UNION ALL SELECT 'worse', model_name, log_loss + 0.25 FROM metrics) GROUP BY ALL)"""
+
+
+@query(rounded_sql("SELECT * FROM v ORDER BY log_loss_mean, variant, model_name LIMIT 5", ["log_loss_mean", "log_loss_std", "log_loss_median"], with_=_VARIANTS))
+def best_model_variants(spark, folder):
+    """Two labelled runs together, the five best lines."""
+    base = _metrics(spark, folder)
+    runs = {"base": base, "worse": base.withColumn("log_loss", F.col("log_loss") + 0.25)}
+    return rounded(X.best(X.variant_summary(runs, ["model_name"], ["log_loss"]), ["log_loss_mean", "variant", "model_name"], 5))
+
+
+@query("""SELECT 'o_orderpriority' AS "column", avg(CAST(coalesce(try_cast(o_orderpriority AS DOUBLE), 0) = 0 AS DOUBLE)) AS rate FROM orders
+  UNION ALL SELECT 'share', avg(CAST(o_custkey % 4 = 0 AS DOUBLE)) FROM orders UNION ALL SELECT 'gaps', avg(CAST(o_orderkey % 8 < 3 AS DOUBLE)) FROM orders""")
+def zero_or_blank_shares(spark, folder):
+    orders = read(spark, folder, "orders").withColumns({
+        "share": F.col("o_custkey") % 4, "gaps": F.when(F.col("o_orderkey") % 8 >= 3, F.col("o_orderkey"))})
+    return Q.zero_or_blank_rates(orders, ["o_orderpriority", "share", "gaps"])
+
+
+_RANKS = "rank() OVER (ORDER BY {0}) + (count(*) OVER (PARTITION BY {0}) - 1) / 2.0"
+
+
+@query(rounded_sql(f"""SELECT 'l_quantity' AS left_column, 'thirds' AS right_column, corr(a, b) AS correlation
+  FROM (SELECT {_RANKS.format("l_quantity")} AS a, {_RANKS.format("floor(l_quantity / 3)")} AS b FROM lineitem)""", ["correlation"]))
+def lineitem_rank_correlations(spark, folder):
+    lines = read(spark, folder, "lineitem").withColumn("thirds", F.floor(F.col("l_quantity") / 3))
+    return rounded(Q.rank_correlations(lines, ["l_quantity", "thirds", "l_discount"], 0.5))
+
+
+_STABLE = """e AS (SELECT year(o_orderdate) AS season, CAST(o_custkey % 100 AS VARCHAR) AS feature, sum(floor(o_totalprice)) AS v, count(*) AS n FROM orders GROUP BY ALL),
+ tops AS (SELECT 'v' AS which, feature, count(*) AS c FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY v DESC, feature) AS r FROM e) WHERE r <= 20 GROUP BY ALL
+  UNION ALL SELECT 'n', feature, count(*) FROM (SELECT *, row_number() OVER (PARTITION BY season ORDER BY n DESC, feature) AS r FROM e) WHERE r <= 20 GROUP BY ALL)"""
+
+
+@query(f"""WITH {_STABLE} SELECT 'stable' AS kind, feature FROM tops WHERE c >= 3 GROUP BY feature HAVING count(*) = 2
+  UNION ALL SELECT DISTINCT 'watch', feature FROM tops WHERE c = 1""")
+def stable_and_watched_features(spark, folder):
+    from pregame.plans.predictions import stable_and_watch, top_stability
+
+    rows = read(spark, folder, "orders").groupBy(
+        F.year("o_orderdate").alias("holdout_season"), (F.col("o_custkey") % 100).cast("string").alias("feature")
+    ).agg(F.sum(F.floor("o_totalprice").cast("double")).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
+    sets = stable_and_watch(top_stability(rows, "v", 20), top_stability(rows, "n", 20))
+    return sets["stable"].select(F.lit("stable").alias("kind"), "feature").unionByName(sets["watch"].select(F.lit("watch").alias("kind"), "feature"))
+
+
 @query("""SELECT o_orderkey, CAST(CASE WHEN p >= 0.5 AND h <= a THEN a + 1 ELSE h END AS INTEGER) AS predicted_home_score,
   CAST(CASE WHEN p < 0.5 AND a <= h THEN h + 1 ELSE a END AS INTEGER) AS predicted_away_score FROM (SELECT o_orderkey,
   round_even(CAST(o_orderkey % 19 AS DOUBLE) / 2, 0) AS h, round_even(CAST(o_custkey % 17 AS DOUBLE) / 2, 0) AS a, (o_orderkey % 101) / 100.0 AS p FROM orders)""")

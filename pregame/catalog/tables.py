@@ -67,7 +67,8 @@ def games(spark: SparkSession, folder: str) -> DataFrame:
         orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
         .join(home, F.col("o_custkey") == F.col("c_custkey"))
         .join(away, F.col("away_sp") == F.col("s_suppkey"))
-        .filter(F.col("home_team") != F.col("away_team"))
+        # A nation that plays itself sends its second team away.
+        .withColumn("away_team", F.when(F.col("home_team") == F.col("away_team"), F.concat("away_team", F.lit(" II"))).otherwise(F.col("away_team")))
     )
     v = F.col("venue")
     return joined.select(
@@ -218,7 +219,8 @@ lines AS (
   FROM lineitem GROUP BY l_orderkey),
 games AS (
   SELECT CAST(o_orderkey AS VARCHAR) AS game_id, o_orderkey AS game_no, CAST(o_orderdate AS TIMESTAMP) AS game_date,
-         CAST(year(o_orderdate) AS INTEGER) AS season, hn.n_name AS home_team, an.n_name AS away_team,
+         CAST(year(o_orderdate) AS INTEGER) AS season, hn.n_name AS home_team,
+         CASE WHEN hn.n_name = an.n_name THEN an.n_name || ' II' ELSE an.n_name END AS away_team,
          CAST(home_sp AS VARCHAR) AS home_sp_id, CAST(away_sp AS VARCHAR) AS away_sp_id,
          CAST(q % 11 AS DOUBLE) AS home_score, CAST((q * 7 + n) % 9 AS DOUBLE) AS away_score,
          CAST(hn.n_nationkey AS VARCHAR) AS venue_id, CAST(20.0 + hn.n_nationkey AS DOUBLE) AS venue_latitude,
@@ -226,8 +228,7 @@ games AS (
          CAST(round_even((-120.0 + 3.0 * hn.n_nationkey) / 15.0, 0) AS DOUBLE) AS venue_timezone_offset
   FROM orders JOIN lines ON o_orderkey = l_orderkey
   JOIN customer ON o_custkey = c_custkey JOIN nation hn ON c_nationkey = hn.n_nationkey
-  JOIN supplier ON away_sp = s_suppkey JOIN nation an ON s_nationkey = an.n_nationkey
-  WHERE hn.n_name <> an.n_name)"""
+  JOIN supplier ON away_sp = s_suppkey JOIN nation an ON s_nationkey = an.n_nationkey)"""
 
 TEAM_GAMES_SQL = """
 team_games AS (

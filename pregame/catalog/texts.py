@@ -23,12 +23,15 @@ from pregame.streaming import landed
 # -- scalars -------------------------------------------------------------------------------
 
 
-@query("""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'c' || o_custkey END AS text_id FROM orders""")
+@query("""SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE 'c' || o_custkey END AS text_id,
+  CAST(9007199254740993 + o_orderkey AS VARCHAR) AS large_id, CAST(9007199254740993 + o_orderkey AS VARCHAR) AS large_text_id FROM orders""")
 def canonical_ids(spark, folder):
     o = read(spark, folder, "orders")
     messy = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit(" "), "o_custkey", F.lit(".0"))).otherwise(F.col("o_custkey").cast("string"))
     text = F.when(F.col("o_orderkey") % 3 == 0, "nan").otherwise(F.concat(F.lit("c"), "o_custkey", F.lit(" ")))
-    return o.select("o_orderkey", C.canonical_id(messy).alias("id"), C.canonical_id(text).alias("text_id"))
+    large = F.lit(9007199254740993) + F.col("o_orderkey")  # above 2^53, where doubles have gaps
+    return o.select("o_orderkey", C.canonical_id(messy).alias("id"), C.canonical_id(text).alias("text_id"), C.canonical_id(large).alias("large_id"),
+                    C.canonical_id(F.concat(F.lit(" "), large.cast("string"), F.lit(".0"))).alias("large_text_id"))
 
 
 @query(rounded_sql("""SELECT event_id, CAST(user_id % 9 AS DOUBLE) + (event_id % 3) / 3.0 AS ip, CASE WHEN event_id % 5 = 0 THEN NULL ELSE user_id % 9 + 2 / 3.0 END AS ip_fraction,
@@ -114,21 +117,28 @@ def schedule_texts(spark, folder):
 _HIDDEN = "regexp_replace(html, '(?is)<!--.*?-->|<script\\b.*?</script>|<style\\b.*?</style>', '', 'g')"
 
 
-@query(f"""SELECT page_id, link_no, text, href FROM (SELECT page_id, unnest(range(1, len(e) + 1)) AS link_no,
+def _decoded_sql(text: str) -> str:
+    """The character references that the pages hold; `&amp;` last, as its result is not read again."""
+    for name, plain in (("&quot;", '"'), ("&copy;", "\u00a9"), ("&middot;", "\u00b7")):
+        text = f"replace({text}, '{name}', '{plain}')"
+    return f"regexp_replace({text}, '&amp;?', '&', 'g')"
+
+
+@query(f"""SELECT page_id, link_no, {_decoded_sql("text")} AS text, {_decoded_sql("href")} AS href FROM (SELECT page_id, unnest(range(1, len(e) + 1)) AS link_no,
   unnest(list_transform(e, lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '[\\s\\x{{00a0}}]+', ' ', 'g')))) AS text,
   unnest(list_transform(e, lambda x: nullif(regexp_extract(x, '(?is)^<[^>]*?\\shref\\s*=\\s*"([^"]*)"', 1), ''))) AS href
   FROM (SELECT page_id, regexp_extract_all({_HIDDEN}, '(?is)(<a\\b[^>]*>.*?</a>)', 1) AS e FROM pages)) WHERE href IS NOT NULL""")
 def page_links(spark, folder):
-    out = G.page_links(read(spark, folder, "pages"), decode=False)
+    out = G.page_links(read(spark, folder, "pages"))
     return out.withColumn("link_no", F.col("link_no").cast("bigint"))
 
 
-@query(f"""SELECT page_id, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line_number, unnest(l) AS text FROM (
+@query(f"""SELECT page_id, line_number, {_decoded_sql("text")} AS text FROM (SELECT page_id, CAST(unnest(range(1, len(l) + 1)) AS BIGINT) AS line_number, unnest(l) AS text FROM (
   SELECT page_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(
     regexp_extract({_HIDDEN}, '(?is)<body\\b[^>]*>(.*)$', 1), '<[^>]*>', chr(10), 'g'), '\\r?\\n'),
-    lambda x: trim(regexp_replace(x, '[\\s\\x{{00a0}}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages)""")
+    lambda x: trim(regexp_replace(x, '[\\s\\x{{00a0}}]+', ' ', 'g'))), lambda x: x <> '') AS l FROM pages))""")
 def page_text_lines(spark, folder):
-    out = G.page_lines(read(spark, folder, "pages"), decode=False)
+    out = G.page_lines(read(spark, folder, "pages"))
     return out.withColumn("line_number", F.col("line_number").cast("bigint"))
 
 

@@ -325,6 +325,20 @@ def leaderboard(df: DataFrame, by: Sequence[str], metrics: Sequence[str], wins:
     return df.groupBy(*by).agg(*values)
 
 
+def variant_summary(runs: dict[str, DataFrame], by: Sequence[str], metrics: Sequence[str]) -> DataFrame:
+    """Leaderboard rows over several labelled runs together, with columns `variant` and `by`."""
+    stacked = None
+    for label, df in runs.items():
+        part = df.withColumn("variant", F.lit(label))
+        stacked = part if stacked is None else stacked.unionByName(part, allowMissingColumns=True)
+    return leaderboard(stacked, ["variant", *by], metrics)
+
+
+def best(df: DataFrame, order: Sequence[str], rows: int = 5) -> DataFrame:
+    """The first `rows` rows in ascending `order`, NULL last; Spark keeps that many per task."""
+    return df.orderBy(*[F.col(c).asc_nulls_last() for c in order]).limit(rows)
+
+
 def consistent_score(df: DataFrame, home: str, away: str, probability: str) -> DataFrame:
     """Rounded scores whose winner is the picked side: the picked side gets loser + 1 if needed."""
     h, a = F.bround(F.greatest(F.col(home), F.lit(0.0)), 0), F.bround(F.greatest(F.col(away), F.lit(0.0)), 0)

@@ -28,12 +28,16 @@ def _long(df: DataFrame, keys: Sequence[Column | str], columns: Sequence[str]) -
     return df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.column", "_c.value")
 
 
+MEDIAN_CHUNK = 1_000_000
+
+
 def exact_medians(df: DataFrame, columns: Sequence[str], group_rows: int | None = None) -> DataFrame:
     """(column, median) over all rows, exact at any size.
 
-    Values are first counted per (column, value); the middle is then found on running counts, so
-    no task holds a column.
+    Values are first counted per (column, value); the middle is then found on running counts, in
+    chunks of `group_rows` values (`MEDIAN_CHUNK` where not given), so no task holds a column.
     """
+    group_rows = group_rows or MEDIAN_CHUNK
     counts = _long(df, [], columns).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
         F.count(F.lit(1)).cast("double").alias("n")
     )
@@ -155,9 +159,13 @@ def distinct_coverage(tables: dict[str, DataFrame], key: str, base: DataFrame) -
     both = tagged.withColumn("table_name", F.explode(F.array("table_name", F.lit("any")))).distinct()
     inside = both.join(known, key, "left_semi")
     counted = inside.groupBy("table_name").agg(F.count(F.lit(1)).alias("n_keys"))
-    # `total` is a single row by construction
-    return counted.join(total).select(
-        "table_name", "n_keys", F.bround(F.col("n_keys") / F.col("total") * 100.0, 1).alias("percent_of_base")
+    # One row per table: the base's own count travels along as one more of them.
+    lines = counted.unionByName(total.select(F.lit(None).cast("string").alias("table_name"), F.col("total").alias("n_keys")))
+    named = F.col("table_name").isNotNull()
+    one = lines.agg(F.max(F.when(~named, F.col("n_keys"))).alias("total"),
+                    F.collect_list(F.when(named, F.struct("table_name", "n_keys"))).alias("t"))
+    return one.select("total", F.explode("t").alias("t")).select(
+        "t.table_name", "t.n_keys", F.bround(F.col("t.n_keys") / F.col("total") * 100.0, 1).alias("percent_of_base")
     )
 
 
@@ -198,8 +206,9 @@ def coverage_report(games: DataFrame, batting: DataFrame, pitching: DataFrame, l
         plain("mean_lineup_rows", "mean"), plain("games_with_18_lineup_rows", "full"), plain("games_with_two_starters", "two"),
     ]
     cells = F.array(*[F.struct(F.lit(n).alias("metric"), v.alias("value"), q.alias("percent")) for n, v, q in metrics])
-    # both sides are single rows by construction
-    return logs.join(plan).select(F.explode(cells).alias("m")).select("m.*")
+    # Two rows with different columns become one.
+    both = logs.unionByName(plan, allowMissingColumns=True)
+    return both.agg(*[F.max(c).alias(c) for c in both.columns]).select(F.explode(cells).alias("m")).select("m.*")
 
 
 def zero_or_blank_rates(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -238,14 +247,17 @@ def distinct_members(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> Data
 
 
 def diagnostics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Non-null rate and distinct count per numeric column."""
-    cells = _long(df, [], columns)
-    per_value = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    known = F.col("value").isNotNull()
-    return per_value.groupBy("column").agg(
-        (F.sum(F.when(known, F.col("n")).otherwise(0)) / F.sum("n")).alias("non_null_rate"),
-        F.count_if(known).alias("n_distinct"),
-    )
+    """Non-null rate and distinct count per numeric column.
+
+    Rates are one pass of partial aggregates. Distinct values are counted after one exchange of (column,
+    value) pairs that each task has already reduced to its distinct ones.
+    """
+    rates = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[
+        F.struct(F.lit(c).alias("column"), F.count(c).alias("known")) for c in columns]).alias("m"))
+    flat = rates.select("n", F.explode("m").alias("m")).select("m.column", (F.col("m.known") / F.col("n")).alias("non_null_rate"))
+    values = _long(df, [], columns).filter(F.col("value").isNotNull()).distinct()
+    distinct = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    return flat.join(distinct, "column", "left").select("column", "non_null_rate", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
 def rank_correlations(df: DataFrame, columns: Sequence[str], floor: float = 0.95) -> DataFrame:
