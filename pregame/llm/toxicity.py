@@ -5,8 +5,8 @@ words as the letters they stand for, and turns everything else into single blank
 tell words apart.
 
 The lexicon holds words (` word `) and beginnings of words (` wor`), so that inflected forms count.
-Each has a weight, a lower bound (1.5 standard errors) of the log-odds of toxic against other training
-documents. A hit inside an
+Each is in the lexicon because at least `min_share` of its training documents are toxic, by more than chance
+among so many patterns, and has a weight, a lower bound (1.5 standard errors) of its log-odds. A hit inside an
 exception phrase does not count. The weights found in a text are summed and also divided by its length;
 a logistic curve over both gives the score.
 
@@ -113,9 +113,13 @@ def hits(automaton, folded: str) -> list[tuple[int, int, float]]:
 
 
 def features(automaton, text: str | None) -> tuple[float, float]:
-    """Sum of weights, on a log scale, and the same per word (per square root of words)."""
+    """Sum of weights, on a log scale, and the same per word (per square root of words).
+
+    A hit that comes again counts less each time: n times give 1 + log n.
+    """
     folded = fold(text)
-    total = sum(w for _, _, w in hits(automaton, folded)) if len(folded) > 2 else 0.0
+    found = Counter((folded[s:e], w) for s, e, w in hits(automaton, folded)) if len(folded) > 2 else {}
+    total = sum(w * (1 + math.log(n)) for (_, w), n in found.items())
     words = max(1, folded.count(" ") - 1)
     return math.log1p(total), total / math.sqrt(words)
 
@@ -195,7 +199,7 @@ def _phrases(lexicon: Lexicon):
     return collect
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_docs: int = 4, min_weight: float = 1.0,
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_docs: int = 4, min_weight: float = 1.0, min_share: float = 0.8,
           size: int = 5_000, shortest: int = 3, longest: int = 8) -> Lexicon:
     """Fit lexicon, exceptions and curve on at most `sample` documents with a label.
 
@@ -223,11 +227,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 12_000, min_docs: in
         p = (bad + 0.5) / (bad + good + 1)
         return Lexicon({" \x00": 0.0}, [], (math.log(p / (1 - p)), 0.0, 0.0))
 
+    # What chance alone would give to one in so many patterns does not count (log likelihood ratio).
+    chance = math.log(max(1, counts.count())) + 3.0
+
     def heaviest(docs: str, toxic: str, bad: int, good: int) -> dict[str, float]:
         hit, other = F.col(toxic) + 0.5, F.col(docs) - F.col(toxic) + 0.5
+        rate = bad / max(1, bad + good)
+        part = lambda n, p: F.when(n > 0, n * F.log(n / (F.col(docs) * p))).otherwise(0.0)
+        surprise = part(F.col(toxic), rate) + part(F.col(docs) - F.col(toxic), 1 - rate)
+        sure = F.col(toxic) >= min_share * F.col(docs)
         weight = F.log(hit / (bad + 1.0)) - F.log(other / (good + 1.0)) - F.sqrt(1 / hit + 1 / other) * 1.5
         best = (
-            counts.filter(F.col(docs) >= min_docs).withColumn("weight", weight).filter(F.col("weight") >= min_weight)
+            counts.filter((F.col(docs) >= min_docs) & sure & (surprise >= chance)).withColumn("weight", weight)
+            .filter(F.col("weight") >= min_weight)
             .orderBy(F.col("weight").desc(), "pattern").limit(size).select("pattern", "weight").collect()
         )
         return {r.pattern: r.weight for r in best} or {" \x00": 0.0}
