@@ -161,8 +161,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 25) -> DataFr
     places = None  # k1 and the surviving places of each level so far
 
     def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
-        often = (rows.groupBy(*keys).agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
-                 .filter(F.col("low") != F.col("high")).select(*keys))
+        # Written: joined straight from the aggregate, a passage in very many texts could not be split.
+        often = settle(rows.groupBy(*keys).agg(F.min("k1").alias("low"), F.max("k1").alias("high"))
+                       .filter(F.col("low") != F.col("high")).select(*keys))
         return rows.join(often.hint("merge"), keys, "left_semi").groupBy("k1").agg(F.collect_set("place").alias("places"))
 
     def stretches(level: int) -> DataFrame:
@@ -180,7 +181,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, start: int = 25) -> DataFr
         places = new if places is None else places.join(new, "k1")
         places = settle(places)
     last = settle(stretches(len(lengths) - 1))
-    least = last.groupBy("h1", "h2").agg(F.min("rank").alias("least"))
+    least = settle(last.groupBy("h1", "h2").agg(F.min("rank").alias("least"), F.max("rank").alias("most"))
+                   .filter(F.col("least") < F.col("most")).drop("most"))
     repeated = (
         last.join(least.hint("merge"), ["h1", "h2"]).filter(F.col("rank") > F.col("least"))
         .groupBy("k1", F.col("rank").alias("of")).agg(F.collect_list("place").alias("places"))
