@@ -22,7 +22,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm.common import BLANKS, row_key, shared_folder, tidy
+from pregame.llm.common import BLANKS, row_key, settle, shared_folder, tidy
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 COLUMNS = {"doc_id": "bigint", "text": "string"}
@@ -92,6 +92,9 @@ def drop_frequent_lines(documents: DataFrame, frequent: DataFrame | None) -> Dat
     d = d.select("doc_id", "text", *row_key("doc_id", "text"))
     if frequent is None:
         frequent = d.sparkSession.createDataFrame([], "h1 bigint, h2 bigint")
+    else:
+        # Written, so that the join below has a plain exchange on both sides, which AQE can split.
+        frequent = settle(frequent)
     lines = d.select("key_a", "key_b", F.posexplode(line_keys(F.col("text"))).alias("line", "key"))
     dropped = (
         lines.filter(F.col("key") != "").select("key_a", "key_b", "line", *_hashes("key"))
