@@ -10,6 +10,7 @@ from pregame.operators import ordered as O
 from pregame.operators import forecasts as X
 from pregame.plans import features as P
 from pregame.plans import models as M
+from pregame.session import settle
 
 FEATURES = ["home_form", "away_form", "home_runs_avg", "away_runs_avg", "form_gap"]
 
@@ -38,18 +39,18 @@ def elo_probabilities(spark, folder):
 
 @query()
 def season_holdout_forecasts(spark, folder):
-    return M.oof_predictions(_sheet(spark, folder), ["elo", "logistic", "logistic_l1"], [2000, 2001], FEATURES)
+    return M.oof_predictions(_sheet(spark, folder), ["elo", "logistic", "logistic_l1"], None, FEATURES)
 
 
 @query()
 def season_holdout_metrics(spark, folder):
-    oof = M.oof_predictions(_sheet(spark, folder), ["elo", "logistic"], [2001], FEATURES)
+    oof = M.oof_predictions(_sheet(spark, folder), ["elo", "logistic"], None, FEATURES)
     return X.probability_metrics(oof, "home_team_win", "home_win_probability", ["holdout_season", "model_name"])
 
 
 @query()
 def expected_run_forecasts(spark, folder):
-    out = M.with_expected_runs(_sheet(spark, folder), [2000, 2001], "ridge", FEATURES)
+    out = M.with_expected_runs(settle(_sheet(spark, folder)), None, "ridge", FEATURES)
     return out.select("game_id", "season", *M.RUNS_COLUMNS)
 
 

@@ -379,12 +379,21 @@ def _score_season(df: DataFrame, name: str, season: int | None, features: Sequen
     return fit_classifier(name, train, columns, seed=seed).score(test)
 
 
+def later_seasons(df: DataFrame) -> list[int]:
+    """The seasons of a table but the first; as many numbers as there are seasons."""
+    return sorted(r[0] for r in df.select("season").filter(F.col("season").isNotNull()).distinct().collect())[1:]
+
+
 def oof_predictions(
-    df: DataFrame, models: Sequence[str], seasons: Sequence[int], features: Sequence[str] | None = None, seed: int = 42
+    df: DataFrame, models: Sequence[str], seasons: Sequence[int] | None = None, features: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:
-    """Long table of held-out forecasts per (season, model); unavailable models are skipped."""
+    """Long table of held-out forecasts per (season, model); unavailable models are skipped.
+
+    Without `seasons`, every season that has an earlier one is held out.
+    """
+    df = settle(df)  # read by every fit
     out = None
-    for season in seasons:
+    for season in later_seasons(df) if seasons is None else seasons:
         for name in models:
             try:
                 scored = _score_season(df, name, season, features, seed)
@@ -456,11 +465,14 @@ def expected_runs(
 
 
 def with_expected_runs(
-    df: DataFrame, seasons: Sequence[int], name: str = "ridge", features: Sequence[str] | None = None, seed: int = 42
+    df: DataFrame, seasons: Sequence[int] | None = None, name: str = "ridge", features: Sequence[str] | None = None, seed: int = 42
 ) -> DataFrame:
-    """Add run predictions to the given seasons, each from models of earlier seasons only."""
+    """Add run predictions to the given seasons (all but the first), each from models of earlier seasons only.
+
+    Every fit reads `df`: give a written table where its plan is long.
+    """
     scored = None
-    for season in seasons:
+    for season in later_seasons(df) if seasons is None else seasons:
         train, test = df.filter(F.col("season") < season), df.filter(F.col("season") == season)
         if train.isEmpty() or test.isEmpty():
             continue
