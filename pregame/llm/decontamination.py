@@ -213,7 +213,12 @@ def _search(rows: list[tuple[int, str]], edits: float, q_sizes: tuple[int, ...],
                     at = whole.find(item.text, max(0, low), max(0, high) + len(item.text))
                     found = (0, at, at + len(item.text)) if at >= 0 else align(block.codes[k], codes, low, high, item.budget)
                     if found:
-                        row = int(np.searchsorted(begins, max(found[1], 0), "right")) - 1
+                        # An alignment may replace item characters by those of a gap instead of leaving them out, at the
+                        # same cost: the text is the one in which the region ends, and the region is cut to it.
+                        cost, start, end = found
+                        row = int(np.searchsorted(begins, end - 1, "right")) - 1
+                        first = int(begins[row])
+                        found = (cost, max(start, first), min(end, first + int(lengths[row])))
                         key = (row, number, k)
                         best[key] = min(found, best.get(key, found))
             out = [(row, blocks[n].items[k].item_id, e, s - begins[row], t - begins[row]) for (row, n, k), (e, s, t) in best.items()]

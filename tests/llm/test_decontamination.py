@@ -70,6 +70,27 @@ def test_every_region_within_the_budget_is_found_and_no_other(spark):
         assert any(distance(item, x) == r.edits for x in region)
 
 
+def test_items_cut_at_the_edges_of_texts_belong_to_their_own_row(spark):
+    """Texts of one batch lie side by side; an item that lost its first or last characters must not reach over."""
+    item = "the quick brown fox jumps over the lazy dog and runs into the deep dark forest"
+    n = len(item) * 12 // 100
+    docs = [(0, "nothing to see here")]
+    for k in range(1, n + 1):
+        docs += [(10 * k, item[k:] + " and more words follow"), (10 * k + 1, "a clean neighbour"),
+                 (10 * k + 2, "some words before " + item[:-k]), (10 * k + 3, ""), (10 * k + 4, item[k:]), (10 * k + 5, None)]
+    docs.append((5, "x" * (n // 2) + item[n // 2:]))
+    frame = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    benchmark = spark.createDataFrame([(7, item)], "item_id long, text string")
+    got = contaminated(frame, benchmark).collect()
+    text = {d: normal(t) for d, t in docs}
+    want = [(d, distance(item, t)) for d, t in text.items() if distance(item, t) <= n]
+    assert sort_rows((r.doc_id, r.edits) for r in got) == sort_rows(want) and len(want) > 2 * n
+    for r in got:
+        assert 0 <= r.from_char < r.to_char <= len(text[r.doc_id])
+        assert distance(item, text[r.doc_id][r.from_char:r.to_char]) == r.edits
+    assert sort_rows((r.doc_id,) for r in drop_contaminated(frame, benchmark).collect()) == sort_rows({(d,) for d, _ in docs} - {(d,) for d, _ in want})
+
+
 def test_dropping_keeps_the_other_rows_whole(spark):
     items, docs = cases()
     frame = spark.createDataFrame([(*d, "extra") for d in docs], "doc_id long, text string, item_id string")
