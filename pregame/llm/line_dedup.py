@@ -127,7 +127,10 @@ def dedup_lines(batches: list[DataFrame], min_docs: int = 10, fanout: int = 4) -
 
 
 def file_batches(df: DataFrame, batches: int) -> list[DataFrame]:
-    """The files of a Parquet table as up to `batches` arrivals; each file is read in one of them."""
+    """The rows of a Parquet table as `batches` arrivals: by files, each read in one of them, or, with fewer files than
+    batches, by a hash of doc_id and text."""
     files = sorted(df.inputFiles())
-    n = max(1, min(batches, len(files)))
-    return [df.sparkSession.read.schema(df.schema).parquet(*files[i::n]) for i in range(n)] if len(files) > 1 else [df]
+    if len(files) >= batches:
+        return [df.sparkSession.read.schema(df.schema).parquet(*files[i::batches]) for i in range(batches)]
+    part = F.pmod(F.xxhash64(F.lit(5), "doc_id", "text"), F.lit(batches))
+    return [df.filter(part == i) for i in range(batches)]

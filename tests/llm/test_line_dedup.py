@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from pregame.llm.line_dedup import LineRuns, dedup_lines
+from pregame.llm.line_dedup import LineRuns, dedup_lines, file_batches
 
 from .cases import hard_documents, hard_rows, no_documents, sort_rows
 
@@ -41,3 +41,15 @@ def test_runs_are_merged_into_levels_and_know_frequent_keys(spark):
     assert runs.frequent().count() == 1
     # Once known as frequent, a key is not counted on.
     assert spark.read.parquet(*[p for level in runs.levels for p in level]).groupBy().max("docs").first()[0] <= 4
+
+
+@pytest.mark.parametrize("files", [1, 3, 6])
+def test_tables_of_any_number_of_files_come_in_all_batches(spark, tmp_path, files):
+    path = str(tmp_path / "documents.parquet")
+    hard_documents(spark).repartition(files).write.parquet(path)
+    docs = spark.read.parquet(path)
+    parts = file_batches(docs, 4)
+    assert len(parts) == 4 and all(not p.isEmpty() for p in parts)
+    rows = [r for p in parts for r in p.select("doc_id", "text").collect()]
+    assert sort_rows(rows) == sort_rows((r[0], r[1]) for r in hard_rows())
+    assert sort_rows(dedup_lines(parts, min_docs=5, fanout=2).collect()) == brute(hard_rows(), 5)
