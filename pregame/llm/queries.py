@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pregame.llm import decontamination, jaccard, line_dedup, mixing, pii, quality, sharding, substring_dedup, toxicity, warc
+from pregame.llm import (
+    decontamination, jaccard, line_dedup, mixing, periodic_runs, pii, quality, sharding, substring_dedup, token_counts,
+    toxicity, warc,
+)
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
 
@@ -116,3 +119,23 @@ def op10_warc_index(spark: SparkSession, folder: str) -> DataFrame:
     archive = warc.write_archive(pages)
     found = warc.look_up(archive, pages.select("url", "page_id"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Tokens of all documents under the public 50k byte-level vocabulary; more than 512 are over the limit."""
+    import public_tokenizers
+
+    counted = token_counts.count_tokens(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
+
+
+@query()
+def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Periodic runs of words in all documents, a tenth of which is made periodic first; runs cut to one period."""
+    found = periodic_runs.collapse_runs(periodic_runs.with_planted_period(table(spark, folder, "documents")), 24)
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+        F.col("best.length").alias("length"), F.col("best.period").alias("period"),
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        periodic_runs.runs_digest(F.col("runs")).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))

@@ -11,7 +11,9 @@ import __spark_entry__
 from pregame.llm.decontamination import normal
 from pregame.llm.queries import QUERIES, SQL
 
-from . import test_jaccard, test_pii, test_quality, test_sharding_mixing, test_substring_dedup
+from . import (
+    test_jaccard, test_periodic_runs, test_pii, test_quality, test_sharding_mixing, test_substring_dedup, test_token_counts,
+)
 from .cases import SMALL, WORD, sort_rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="test tables are not here")
@@ -26,7 +28,7 @@ def documents(spark):
 
 
 def test_all_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 12), 13]
     assert set(QUERIES) | {"pipeline"} <= set(__spark_entry__.queries()) and set(SQL) <= set(__spark_entry__.oracle_sql())
 
 
@@ -111,3 +113,17 @@ def test_op9_sharding(spark):
     assert len(loads) == 16 and max(loads.values()) - min(loads.values()) <= max(r["size"] for r in got)
     for shard in loads:
         assert sorted(r.slot for r in got if r.shard == shard) == list(range(sum(r.shard == shard for r in got)))
+
+
+def test_op11_token_counts(spark):
+    got = QUERIES["op11_token_counts"](spark, SMALL).collect()
+    want = test_token_counts.brute((d[0], d[1]) for d in documents(spark))
+    assert sort_rows(r[:3] for r in got) == want and all(r.over_limit == (r.n_tokens > 512) for r in got)
+
+
+def test_op13_periodic_runs(spark):
+    got = QUERIES["op13_periodic_runs"](spark, SMALL)
+    columns = ["doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256"]
+    want = [(i, *test_periodic_runs.digest(test_periodic_runs.planted(i, text))) for i, text, *_ in documents(spark)]
+    assert sort_rows(got.select(*columns).collect()) == sort_rows(want)
+    assert sum(n > 0 for _, n, *_ in want) > len(want) // 20
