@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pregame.llm import (
-    decontamination, jaccard, line_dedup, mixing, periodic_runs, pii, quality, sharding, substring_dedup, token_counts,
-    toxicity, warc,
+    collocations, decontamination, jaccard, line_dedup, mixing, periodic_runs, pii, quality, sharding, substring_dedup,
+    token_counts, toxicity, warc,
 )
 from pregame.llm.common import table
 from pregame.llm.registry import QUERIES, SQL, query
@@ -130,6 +130,46 @@ def op11_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
+@query(sql="""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+  FROM documents
+),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\\x20\\x09]'), lambda x: x <> '') AS ws FROM pieces),
+totals AS (SELECT lang, sum(len(ws)) AS n FROM w GROUP BY lang),
+grams AS (
+  SELECT lang, size, list_aggregate(ws[i:i + size - 1], 'string_agg', ' ') AS phrase
+  FROM (SELECT lang, ws, size, unnest(range(1, len(ws) - size + 2)) AS i
+        FROM w, (SELECT unnest(range(1, 6)) AS size) WHERE len(ws) >= size)
+),
+f AS (SELECT lang, size, phrase, count(*) AS f FROM grams GROUP BY ALL HAVING count(*) >= 100),
+cuts AS (
+  SELECT lang, phrase, f AS a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS rest
+  FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(1, size)) AS k FROM f WHERE size > 1)
+),
+scored AS (
+  SELECT c.lang, c.phrase, c.a, x.f AS l, y.f AS r, t.n::BIGINT AS n, k,
+         ((1000::HUGEINT * c.a * t.n::HUGEINT) // (x.f::HUGEINT * y.f))::BIGINT AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.head JOIN f y ON y.lang = c.lang AND y.phrase = c.rest
+  JOIN totals t ON t.lang = c.lang
+),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(words[i:i + k - 1], ' ') AS phrase, max(f) AS longer
+  FROM (SELECT *, unnest(range(1, size - k + 2)) AS i
+        FROM (SELECT *, string_split(phrase, ' ') AS words, unnest(range(2, size)) AS k FROM f WHERE size > 2))
+  GROUP BY ALL
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM lowest l LEFT JOIN inside i USING (lang, phrase) WHERE i.longer IS NULL OR 100 * i.longer < 100 * a
+QUALIFY rank <= 2000
+""")
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    """The first 2000 phrases of 2 to 5 words of each language that occur 100 times or more."""
+    return collocations.collocations(table(spark, folder, "documents"), 5, 100, 2000)
+
+
 @query()
 def op13_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     """Periodic runs of words in all documents, a tenth of which is made periodic first; runs cut to one period."""
