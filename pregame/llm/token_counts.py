@@ -24,6 +24,7 @@ from __future__ import annotations
 import json
 import unicodedata
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
@@ -47,8 +48,25 @@ def byte_letters() -> list[str]:
     return [letters[b] for b in range(256)]
 
 
-def load_vocabulary(path: str) -> tuple[dict[tuple[str, str], int], list[str]]:
-    """Ranks of the merges and contents of the added tokens."""
+@dataclass(frozen=True)
+class Merges:
+    """Symbols as small numbers (0 to 255: the bytes), and for each pair that merges its rank; `made` has the symbol by rank."""
+
+    ranks: dict[int, int]
+    made: list[int]
+
+    @classmethod
+    def of(cls, pairs: list[tuple[str, str]], letters: list[str]) -> Merges:
+        numbers = {letter: b for b, letter in enumerate(letters)}
+        ranks, made = {}, []
+        for rank, (left, right) in enumerate(pairs):
+            ranks[numbers[left] << 32 | numbers[right]] = rank
+            made.append(numbers.setdefault(left + right, len(numbers)))
+        return cls(ranks, made)
+
+
+def load_vocabulary(path: str) -> tuple[Merges, list[str]]:
+    """The merges and the contents of the added tokens."""
     with open(path, encoding="utf-8") as f:
         stored = json.load(f)
     model, split, added = stored["model"], stored["pre_tokenizer"], stored["added_tokens"]
@@ -57,45 +75,47 @@ def load_vocabulary(path: str) -> tuple[dict[tuple[str, str], int], list[str]]:
     if not (plain and bare and model["type"] == "BPE" and stored["normalizer"] is None and split["type"] == "ByteLevel"
             and split["use_regex"] and not split["add_prefix_space"] and set(byte_letters()) <= set(model["vocab"])):
         raise ValueError(f"{path} is not a plain byte-level BPE vocabulary")
-    pairs = (m if isinstance(m, list) else m.split(" ") for m in model["merges"])
-    return {tuple(m): rank for rank, m in enumerate(pairs)}, [a["content"] for a in added]
+    pairs = [tuple(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    return Merges.of(pairs, byte_letters()), [a["content"] for a in added]
 
 
-def count_symbols(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
+def count_symbols(symbols: list[int], merges: Merges) -> int:
     """How many symbols are left when no adjacent pair has a rank. `symbols` is used up."""
     n = left = len(symbols)
+    rank_of, made = merges.ranks.get, merges.made
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-    heap = [(r, i) for i in range(n - 1) if (r := ranks.get((symbols[i], symbols[i + 1]))) is not None]
+    # An entry is rank, then place, in one number.
+    heap = [r << 32 | i for i in range(n - 1) if (r := rank_of(symbols[i] << 32 | symbols[i + 1])) is not None]
     heapify(heap)
     while heap:
-        rank, i = heappop(heap)
+        entry = heappop(heap)
+        rank, i = entry >> 32, entry & 0xFFFFFFFF
         j = after[i]
-        # A rank names its pair, so an outdated entry is one whose place holds another pair by now.
-        if j >= n or ranks.get((symbols[i], symbols[j])) != rank:
+        # A rank names its pair, so an outdated entry is one whose place holds another pair by now, or none.
+        if j >= n or symbols[i] < 0 or rank_of(symbols[i] << 32 | symbols[j]) != rank:
             continue
-        symbols[i] += symbols[j]
-        symbols[j] = ""
+        symbols[i] = merged = made[rank]
+        symbols[j] = -1
         after[i] = k = after[j]
         left -= 1
         if k < n:
             before[k] = i
-            if (r := ranks.get((symbols[i], symbols[k]))) is not None:
-                heappush(heap, (r, i))
-        if (h := before[i]) >= 0 and (r := ranks.get((symbols[h], symbols[i]))) is not None:
-            heappush(heap, (r, h))
+            if (r := rank_of(merged << 32 | symbols[k])) is not None:
+                heappush(heap, r << 32 | i)
+        if (h := before[i]) >= 0 and (r := rank_of(symbols[h] << 32 | merged)) is not None:
+            heappush(heap, r << 32 | h)
     return left
 
 
 class _Memory(dict):
     """Tokens of a pre-token; counted when first asked for."""
 
-    def __init__(self, ranks: dict[tuple[str, str], int]):
+    def __init__(self, merges: Merges):
         super().__init__()
-        self.ranks, self.letters = ranks, byte_letters()
+        self.merges = merges
 
     def __missing__(self, token: str) -> int:
-        letters = self.letters
-        found = count_symbols([letters[b] for b in token.encode()], self.ranks)
+        found = count_symbols(list(token.encode()), self.merges)
         if len(token) <= SHORT:
             if len(self) >= REMEMBERED:
                 self.clear()
@@ -103,13 +123,13 @@ class _Memory(dict):
         return found
 
 
-def _unknown() -> str:
-    """A character class of the letters, digits and blanks that this Python's Unicode does not know."""
+def unknown_ranges() -> list[tuple[str, str]]:
+    """First and last of each range of letters, digits and blanks that this Python's Unicode does not know."""
     every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
-    odd = [ord(c) for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"]
-    firsts = [c for c, before in zip(odd, [None, *odd]) if before != c - 1]
-    lasts = [c for c, then in zip(odd, [*odd[1:], None]) if then != c + 1]
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(firsts, lasts)) + "]" if odd else r"(?!)"
+    odd = [c for c in regex.findall(r"[\p{L}\p{N}\s]", every) if unicodedata.category(c) == "Cn"]
+    firsts = [c for c, before in zip(odd, ["", *odd]) if not before or ord(before) != ord(c) - 1]
+    lasts = [c for c, then in zip(odd, [*odd[1:], ""]) if not then or ord(then) != ord(c) + 1]
+    return list(zip(firsts, lasts))
 
 
 def own_splitter(part: str) -> list[str]:
@@ -120,17 +140,21 @@ def own_splitter(part: str) -> list[str]:
     return [part[a:b] for _, (a, b) in split.pre_tokenize_str(part)]
 
 
-def token_counter(ranks: dict[tuple[str, str], int], added: list[str]) -> Callable[[str], int]:
-    """A function from a text to its number of tokens."""
-    memory, find, unknown = _Memory(ranks), regex.compile(PATTERN).findall, regex.compile(_unknown()).search
+def token_counter(merges: Merges, added: list[str]) -> Callable[[bytes], int]:
+    """A function from a text in UTF-8 to its number of tokens."""
+    memory, find, unknown = _Memory(merges), regex.compile(PATTERN).findall, unknown_ranges()
+    odd = regex.compile("[" + "".join(f"\\U{ord(a):08x}-\\U{ord(b):08x}" for a, b in unknown) + "]" if unknown else r"(?!)").search
+    # Most texts hold no unknown letter for sure: their bytes are all below the first byte of any.
+    below = bytes(range(min([a.encode()[0] for a, _ in unknown], default=256)))
     longest_first = sorted(filter(None, added), key=len, reverse=True)
     cut = regex.compile("|".join(map(regex.escape, longest_first)) or r"(?!)").split
 
-    def count(text: str) -> int:
-        parts = cut(text)
+    def count(text: bytes) -> int:
+        parts = cut(text.decode("utf-8", "replace"))
         total = len(parts) - 1
+        check = bool(text.translate(None, below))
         for part in parts:
-            tokens = own_splitter(part) if not part.isascii() and unknown(part) else find(part)
+            tokens = own_splitter(part) if check and odd(part) else find(part)
             total += sum(map(memory.__getitem__, tokens))
         return total
 
@@ -147,7 +171,7 @@ def count_tokens(docs: DataFrame, vocabulary: str) -> DataFrame:
             texts = b.column("text").to_pylist()
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([len(t) for t in texts], pa.int64()),
-                 pa.array([count(t.decode("utf-8", "replace")) for t in texts], pa.int64())],
+                 pa.array([count(t) for t in texts], pa.int64())],
                 names=["doc_id", "n_bytes", "n_tokens"])
 
     d = tidy(docs, {"doc_id": "bigint", "text": "string"})
