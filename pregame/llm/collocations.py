@@ -3,7 +3,8 @@
 Texts are cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into words `[^\\x20\\x09]+`, with A-Z lower-cased.
 
 1. `encode` writes the corpus as shards of about a million words of one language: distinct words and one
-   number per word, 0 between pieces. All further steps read this table, so a lost executor changes nothing.
+   number per word, 0 between pieces. All further steps read this table, so a lost executor changes nothing; it is
+   bucketed by shard, so that what comes back to a shard meets it without moving it.
 2. Which n-grams can be frequent is found length by length. A shard counts the hashes of those n-grams whose
    two (n-1)-grams are still in; one exchange by hash sums them over the shards, and what reaches `least`
    goes back to the shards it came from. Hashes of different phrases may clash, so this only lets too many in.
@@ -23,6 +24,7 @@ at most; rows with equal text or id all count; an empty table gives an empty res
 
 from __future__ import annotations
 
+import uuid
 from bisect import bisect_right
 from collections.abc import Iterator
 from itertools import groupby
@@ -33,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pregame.llm.automata import Automaton, Phrase, Union, summed
-from pregame.llm.common import pieces, settle, tidy
+from pregame.llm.common import pieces, settle, shared_folder, tidy
 from pregame.llm.words import LOWER, column_bytes, mix, ranges_hash
 
 SHARD_WORDS = 1_000_000
@@ -128,7 +130,18 @@ def encode(docs: DataFrame) -> DataFrame:
     d = tidy(docs, {"text": "string", "lang": "string"}).withColumn("lang", F.coalesce("lang", F.lit("und")))
     rows = d.mapInArrow(_encode, "lang string, n long, words binary, ids binary")
     # Numbered as it is written; whoever reads the table sees the same numbers.
-    return settle(rows.withColumn("shard", F.monotonically_increasing_id()))
+    return settle_in_buckets(rows.withColumn("shard", F.monotonically_increasing_id()), "shard")
+
+
+def settle_in_buckets(df: DataFrame, key: str) -> DataFrame:
+    """Write `df` to the shared folder in buckets of `key`: joins by it need no exchange of this side, however often."""
+    spark = df.sparkSession
+    name = f"settled_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.write.bucketBy(buckets, key).option("path", f"{shared_folder(spark)}/settled/{name}").saveAsTable(name)
+    written = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # the name only; the files lie outside the warehouse and stay
+    return written
 
 
 # -- 2. n-grams that may be frequent ---------------------------------------------------------
@@ -196,7 +209,7 @@ def candidates(shards: DataFrame, longest: int, least: int) -> list[DataFrame]:
     """For each length the hashes of n-grams that may reach `least`: shard and `hashes`, those that it holds."""
     out: list[DataFrame] = []
     for n in range(1, longest + 1):
-        rows = shards.join(out[-1], "shard") if out else shards
+        rows = shards.join(out[-1].hint("merge"), "shard") if out else shards
         counted = rows.mapInArrow(_counts_of(n), "h long, shard long, c long")
         total = F.sum("c").over(Window.partitionBy("h"))
         kept = counted.withColumn("total", total).filter(F.col("total") >= least)
@@ -247,7 +260,7 @@ def shard_automata(shards: DataFrame, levels: list[DataFrame]) -> DataFrame:
         level = level.select("shard", F.struct(F.lit(n).alias("n"), "hashes").alias("level"))
         known = level if known is None else known.unionByName(level)
     known = known.groupBy("shard").agg(F.collect_list("level").alias("candidates"))
-    return settle(shards.join(known, "shard").mapInArrow(_shard_automata, "lang string, counts binary, sample array<binary>"))
+    return settle(shards.join(known.hint("merge"), "shard").mapInArrow(_shard_automata, "lang string, counts binary, sample array<binary>"))
 
 
 # -- 4. and 5. ranges ------------------------------------------------------------------------
