@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pregame.functions.scalars import DAY_MICROS
 from pregame.operators.ordered import (
     Span,
     arrange,
@@ -35,13 +36,15 @@ def asof_strict(
     ts: str,
     columns: Sequence[str],
     tie: str | None = None,
-    group_rows: int | None = None,
+    width: int = DAY_MICROS,
+    bounded: bool = False,
 ) -> DataFrame:
     """For each left row the latest right row of the same key with a strictly earlier instant.
 
-    Both sides are stacked and the last right row before each left row is carried forward, so the
-    pair is found with one exchange and no range condition. At equal right instants the greatest
-    `tie` wins; with no match the columns are NULL.
+    Both sides are stacked and dealt into days of each key. Inside a day the last right row before each left
+    row is carried forward; the last one of each day is carried over days, in a table of one row per key and
+    day. No range condition, and no task holds a key. At equal right instants the greatest `tie` wins; with no
+    match the columns are NULL.
     """
     micros = F.unix_micros(F.col(ts).cast("timestamp"))
     tie_of = F.col(tie).cast("string") if tie else F.lit("")
@@ -55,7 +58,7 @@ def asof_strict(
         *keys, micros.alias("_t"), F.lit(1).alias("_side"), tie_of.alias("_tie"), found.alias("_found"),
     )
     both = seekers.unionByName(history, allowMissingColumns=True)
-    laid = arrange(both, keys, ["_t", "_side", "_tie"], group_rows).add({"_match": prior_last("_found")})
+    laid = arrange(both, keys, ["_t", "_side", "_tie"], width=width, bounded=bounded).add({"_match": prior_last("_found")})
     kept = laid.done().filter(F.col("_side") == 0)
     own = [F.col("_left")[c].alias(c) for c in left.columns if c not in columns]
     return kept.select(*own, *[F.col("_match")[c].alias(c) for c in columns])
@@ -141,6 +144,7 @@ def set_continuity(
     order: Sequence[str],
     member: str,
     group_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Compare each unit's member set with the set of the unit before it in the same group.
 
@@ -150,19 +154,19 @@ def set_continuity(
     own unit. Sets are compared by joins, so they may be of any size.
     """
     units = df.groupBy(group, unit).agg(*[F.min(o).alias(o) for o in order])
-    laid = arrange(units, [group], [*order, F.col(unit).try_cast("bigint"), F.col(unit)], group_rows)
+    laid = arrange(units, [group], [*order, F.col(unit).try_cast("bigint"), F.col(unit)], group_rows, bounded=bounded).numbered()
     places = laid.df.select(group, unit, laid.position().alias("_no"))
     rows = df.join(places, [group, unit], "left").withColumn("_one", F.when(F.col(member).isNotNull(), 1.0))
     # A member returns when it also has a row exactly one unit earlier.
     spans = {"_before": Span("_one", -1, -1), "_repeats": Span("_one", 0, 0)}
-    seen = trailing_range(rows, [group, member], "_no", spans, group_rows)
+    seen = trailing_range(rows, [group, member], "_no", spans, bounded=bounded)
     share = F.when(F.col("_one").isNotNull(), 1.0 / F.col("_repeats"))
     per_unit = seen.groupBy(group, unit).agg(
         F.max("_no").alias("_no"),
         F.round(F.coalesce(F.sum(share), F.lit(0.0))).alias("unit_size"),
         F.round(F.coalesce(F.sum(F.when(F.col("_before") > 0, share)), F.lit(0.0))).alias("_kept"),
     )
-    per_unit = arrange(per_unit, [group], ["_no"], group_rows).add({"_had": previous("unit_size")}).done()
+    per_unit = arrange(per_unit, [group], ["_no"], group_rows, bounded=bounded).add({"_had": previous("unit_size")}).done()
     had = F.when(F.col("_had") > 0, F.col("_had"))
     per_unit = per_unit.select(group, unit, "unit_size", (had - F.col("_kept")).alias("previous_missing"))
     out = seen.join(per_unit, [group, unit], "left")

@@ -1,28 +1,45 @@
-"""Windows over "everything strictly before this row", safe for very large groups.
-
-`arrange` is lazy and never looks at the data: which way a plan takes depends on the caller alone. By
-default a group is one window partition (Spark streams through it and spills; a player's or team's season
-is short). With `group_rows`, or the setting `pregame.groupRows`, rows are numbered by a distributed range
-sort and every group is cut into chunks of at most that many rows, for keys that may hold a large part of
-all rows. Row frames then see the last rows of the chunk before (copied over as context), running totals
-start from the totals of the chunks before.
+"""Windows over "everything strictly before this row", for groups of any size.
+
+Unless the caller states that groups are `bounded`, a group is never one task. `arrange` deals its rows into buckets of the first order column (a day of instants, a
+block of whole numbers), and there is one way from there on, whatever the sizes:
+
+* Running aggregates: inside a bucket by a window, plus what all earlier buckets of the group give. The latter
+  comes from a table with one row per group and bucket, summed map-side, and a window over those rows.
+* Row numbers are running counts, so they need no sort of the group either.
+* Row frames: with its number known, a row belongs to a chunk of `group_rows` numbers; the last rows of a chunk
+  are shown once more to the next, so a frame never looks outside its chunk. Frames see the same rows in the
+  same order for any chunk size, so results are equal to the last bit.
+* Time spans: whole buckets inside the span come from the table of bucket sums, only the rows of the buckets at
+  its two ends are looked at one by one. Sums are sums of parts, never differences of totals.
+
+Everything is lazy; nothing is written in between and nothing depends on the data's size.
+
+`bounded=True` is a statement about the keys, made where they are chosen: the schedule lets a team or player have
+a few hundred rows in a season, however large the tables are. Such a group is one window partition, as cutting it
+would only add exchanges. Customers, users and the like have no such bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pregame.functions.scalars import DAY_MICROS, col
-from pregame.session import settle
 
-GROUP_ROWS_SETTING = "pregame.groupRows"
+# Rows of a chunk, unless the caller or the setting says otherwise. Results do not depend on it.
+CHUNK_ROWS = 1 << 14
+CHUNK_ROWS_SETTING = "pregame.groupRows"
+# Numbers in a bucket where the order is a whole number.
+BLOCK = 1 << 12
 
-_POSITION, _CHUNK, _CONTEXT, _PART = "_position", "_chunk", "_context", "_part"
-_LAYOUT = (_POSITION, _CHUNK, _CONTEXT, _PART)
+_POSITION, _BUCKET, _CHUNK, _CONTEXT = "_position", "_bucket", "_chunk", "_context"
+_LAYOUT = (_POSITION, _BUCKET, _CHUNK, _CONTEXT)
 
 
 @dataclass(frozen=True)
@@ -90,109 +107,112 @@ _RUNNING = {
 }
 
 
+def bucket_of(df: DataFrame, order: Column, width: int | None = None) -> Column:
+    """The bucket of an order column, ascending with it: a day of instants or dates, `BLOCK` of whole numbers, a
+    64th of a power of two of fractions; one for all other kinds."""
+    kind = df.select(order).schema[0].dataType
+    if isinstance(kind, T.TimestampType | T.TimestampNTZType | T.DateType):
+        micros, width = F.unix_micros(order.cast("timestamp")), width or DAY_MICROS
+    elif isinstance(kind, T.IntegralType):
+        micros, width = order.cast("bigint"), width or BLOCK
+    elif isinstance(kind, T.DoubleType | T.FloatType):
+        size = F.floor(F.signum(order) * F.log2(1 + F.abs(order)) * 64)
+        return F.when(F.isnan(order), F.lit((1 << 63) - 1)).otherwise(size).cast("bigint")
+    else:
+        return F.lit(0).cast("bigint")
+    return F.floor(micros / F.lit(width)).cast("bigint")
+
+
 @dataclass(frozen=True)
 class Arranged:
-    """A frame laid out by group and total order, ready for `add`."""
+    """A frame dealt into buckets, with a total order in each group, ready for `add`."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[Column, ...]
     group_rows: int
-    chunked: bool
+    bounded: bool = False
 
-    def _window(self) -> WindowSpec:
-        if self.chunked:
-            return Window.partitionBy(*self.keys, _CHUNK).orderBy(_POSITION)
-        return Window.partitionBy(*self.keys).orderBy(*self.order)
+    def numbered(self) -> Arranged:
+        """With the 1-based row number inside the group, see `position`."""
+        return self if _POSITION in self.df.columns else self.add({_POSITION: _row_number()})
 
     def position(self) -> Column:
-        """1-based row number inside the group."""
-        return F.col(_POSITION) if self.chunked else F.row_number().over(self._window()).cast("bigint")
+        return F.col(_POSITION)
 
     def add(self, specs: dict[str, Running | Recent]) -> Arranged:
-        """Add one column per entry, all computed from the same sort."""
-        if not self.chunked:
-            return self._with(self.df.select("*", *[self._plain(s).alias(n) for n, s in specs.items()]))
-        return self._add_chunked(specs)
+        """Add one column per entry."""
+        if self.bounded:
+            kept = [F.col(f"`{c}`") for c in self.df.columns if c not in specs]
+            return self._with(self.df.select(*kept, *[self._whole(s).alias(n) for n, s in specs.items()]))
+        running = {n: s for n, s in specs.items() if isinstance(s, Running)}
+        recent = {n: s for n, s in specs.items() if isinstance(s, Recent)}
+        if recent and _POSITION not in self.df.columns:
+            running[_POSITION] = _row_number()
+        out = self._add_running(running) if running else self
+        return out._add_recent(recent) if recent else out
 
     def _with(self, df: DataFrame) -> Arranged:
-        return Arranged(df, self.keys, self.order, self.group_rows, self.chunked)
+        return Arranged(df, self.keys, self.order, self.group_rows, self.bounded)
 
-    def _plain(self, spec: Running | Recent) -> Column:
+    def _whole(self, spec: Running | Recent) -> Column:
+        """Over the group as one window partition."""
+        group = Window.partitionBy(*self.keys).orderBy(*self.order)
         if isinstance(spec, Recent):
-            return spec.finish(spec.how(spec.value).over(self._window().rowsBetween(-spec.rows, -1)))
+            return spec.finish(spec.how(spec.value).over(group.rowsBetween(-spec.rows, -1)))
         aggregate, empty, _ = _RUNNING[spec.how]
-        end = 0 if spec.here else -1
-        value = aggregate(spec.value).over(self._window().rowsBetween(Window.unboundedPreceding, end))
+        value = aggregate(spec.value).over(group.rowsBetween(Window.unboundedPreceding, 0 if spec.here else -1))
         return value if empty is None else F.coalesce(value, F.lit(empty))
 
-    def _add_chunked(self, specs: dict[str, Running | Recent]) -> Arranged:
-        running = {n: s for n, s in specs.items() if isinstance(s, Running)}
-        reach = max([s.rows for s in specs.values() if isinstance(s, Recent)], default=0)
-        rows = self.df.withColumn(_CONTEXT, F.lit(False))
-        if reach:
-            # The last rows of a chunk are shown once more to each chunk a frame can look back from.
-            spread = -(-reach // self.group_rows)
-            ahead = F.explode(F.sequence(F.lit(1), F.lit(spread)))
-            shown = rows.withColumn("_ahead", ahead).filter(
-                (F.col(_CHUNK) + F.col("_ahead")) * self.group_rows - F.col(_POSITION) < reach
-            )
-            shown = shown.withColumn(_CHUNK, F.col(_CHUNK) + F.col("_ahead")).withColumn(_CONTEXT, F.lit(True))
-            rows = rows.unionByName(shown.drop("_ahead"))
-        own = Arranged(rows, self.keys, self.order, self.group_rows, True)
-        outputs = []
-        for name, spec in specs.items():
-            if isinstance(spec, Running):
-                spec = Running(F.when(~F.col(_CONTEXT), spec.value), spec.how, spec.here)
-            outputs.append(own._plain(spec).alias(name))
-        out = rows.select("*", *outputs).filter(~F.col(_CONTEXT)).drop(_CONTEXT)
-        if running:
-            out = self._carry(out, running)
-        return self._with(out)
-
-    def _carry(self, out: DataFrame, running: dict[str, Running]) -> DataFrame:
-        """Add what the earlier chunks of the group contribute to each running aggregate."""
-        totals = []
-        for name, spec in running.items():
+    def _add_running(self, specs: dict[str, Running]) -> Arranged:
+        inside = Window.partitionBy(_BUCKET).orderBy(*self.order)
+        own, totals, across = [], [], []
+        groups = Window.partitionBy(*[F.col("_of")[f"k{i}"] for i in range(len(self.keys))]).orderBy(F.col("_of")["b"])
+        earlier = groups.rowsBetween(Window.unboundedPreceding, -1)
+        for i, spec in enumerate(specs.values()):
+            aggregate = _RUNNING[spec.how][0]
+            frame = inside.rowsBetween(Window.unboundedPreceding, 0 if spec.here else -1)
+            own.append(aggregate(spec.value).over(frame).alias(f"_own_{i}"))
             if spec.how == "last":
-                at = F.when(spec.value.isNotNull(), F.col(_POSITION))
-                totals.append(F.max_by(spec.value, at).alias(f"_in_{name}"))
+                # The order as one value; rows without a value do not count.
+                at = F.when(spec.value.isNotNull(), F.struct(*self.order))
+                totals.append(F.max_by(spec.value, at).alias(f"_all_{i}"))
             else:
-                totals.append(_RUNNING[spec.how][0](spec.value).alias(f"_in_{name}"))
-        chunks = self.df.groupBy(*self.keys, _CHUNK).agg(*totals)
-        before = Window.partitionBy(*self.keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-        carried = []
-        for name, spec in running.items():
-            across = F.sum if spec.how == "count" else _RUNNING[spec.how][0]
-            carried.append(across(F.col(f"_in_{name}")).over(before).alias(f"_before_{name}"))
-        starts = chunks.select(*[F.col(c).alias(f"_k_{c}") for c in (*self.keys, _CHUNK)], *carried)
-        joined = out.join(starts, _same(out, starts, (*self.keys, _CHUNK), "_k_"), "left")
-        merged = {}
-        for name, spec in running.items():
+                totals.append(aggregate(spec.value).alias(f"_all_{i}"))
+            join = F.sum if spec.how == "count" else aggregate
+            across.append(join(F.col(f"_all_{i}")).over(earlier).alias(f"_before_{i}"))
+        buckets = self.df.groupBy(F.col(_BUCKET).alias("_of")).agg(*totals).select("_of", *across)
+        joined = self.df.select("*", *own).join(buckets, F.col(_BUCKET) == F.col("_of"))
+        values = []
+        for i, (name, spec) in enumerate(specs.items()):
             _, empty, join = _RUNNING[spec.how]
-            earlier = F.col(f"_before_{name}")
+            before, here = F.col(f"_before_{i}"), F.col(f"_own_{i}")
             if empty is not None:
-                earlier = F.coalesce(earlier, F.lit(empty))
-            merged[name] = join(earlier, F.col(name))
-        return joined.withColumns(merged).select(*out.columns)
+                before, here = F.coalesce(before, F.lit(empty)), F.coalesce(here, F.lit(empty))
+            values.append(join(before, here).alias(name))
+        kept = [c for c in self.df.columns if c not in specs]
+        return self._with(joined.select(*[F.col(f"`{c}`") for c in kept], *values))
+
+    def _add_recent(self, specs: dict[str, Recent]) -> Arranged:
+        reach = max(s.rows for s in specs.values())
+        n = self.group_rows
+        chunk = F.floor((F.col(_POSITION) - 1) / n).cast("bigint")
+        # A row is shown to its own chunk and to those behind it from which a frame can reach it.
+        ahead = (F.floor((F.col(_POSITION) + reach - 1) / n) - chunk).cast("int")
+        shown = self.df.withColumn("_ahead", F.explode(F.sequence(F.lit(0), ahead)))
+        shown = shown.withColumn(_CHUNK, chunk + F.col("_ahead")).withColumn(_CONTEXT, F.col("_ahead") > 0).drop("_ahead")
+        inside = Window.partitionBy(*self.keys, _CHUNK).orderBy(_POSITION)
+        values = [s.finish(s.how(s.value).over(inside.rowsBetween(-s.rows, -1))).alias(n) for n, s in specs.items()]
+        kept = [c for c in self.df.columns if c not in specs]
+        out = shown.select(*[F.col(f"`{c}`") for c in kept], _CONTEXT, *values)
+        return self._with(out.filter(~F.col(_CONTEXT)).drop(_CONTEXT))
 
     def done(self) -> DataFrame:
         return self.df.drop(*_LAYOUT)
 
 
-def _same(left: DataFrame, right: DataFrame, names: Sequence[str], prefix: str) -> Column:
-    condition = F.lit(True)
-    for name in names:
-        condition = condition & left[name].eqNullSafe(right[f"{prefix}{name}"])
-    return condition
-
-
-def group_limit(df: DataFrame, group_rows: int | None) -> int | None:
-    """Rows of a chunk, or None to leave groups whole."""
-    if group_rows is None:
-        named = df.sparkSession.conf.get(GROUP_ROWS_SETTING, None)
-        return None if named is None else int(named)
-    return group_rows
+def _row_number() -> Running:
+    return Running(F.lit(1), "count", here=True)
 
 
 def arrange(
@@ -200,31 +220,21 @@ def arrange(
     keys: Sequence[str],
     order: Sequence[str | Column],
     group_rows: int | None = None,
+    width: int | None = None,
+    bounded: bool = False,
 ) -> Arranged:
-    """Lay `df` out by `keys` in the total order `order`."""
-    limit = group_limit(df, group_rows)
+    """Lay `df` out by `keys` in the total order `order`.
+
+    `width` is that of a bucket (microseconds, or units of a whole number).
+    """
     columns = tuple(col(o) for o in order)
-    if limit is None:
-        return Arranged(df, tuple(keys), columns, 0, False)
-    return Arranged(_numbered(df, tuple(keys), columns, limit), tuple(keys), columns, limit, True)
-
-
-def _numbered(df: DataFrame, keys: tuple[str, ...], order: tuple[Column, ...], limit: int) -> DataFrame:
-    """Exact row numbers per group without ever sorting a whole group in one task."""
-    spread = df.repartitionByRange(*[F.col(k) for k in keys], *order)
-    ranged = settle(spread.withColumn(_PART, F.spark_partition_id()))
-    sizes = ranged.groupBy(*keys, _PART).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_k_{c}") for c in (*keys, _PART)],
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
-    )
-    inside = F.row_number().over(Window.partitionBy(*keys, _PART).orderBy(*order))
-    counted = ranged.withColumn(_POSITION, inside.cast("bigint"))
-    joined = counted.join(offsets, _same(counted, offsets, (*keys, _PART), "_k_"))
-    position = F.col(_POSITION) + F.col("_offset")
-    numbered = joined.withColumn(_POSITION, position).select(*df.columns, _POSITION)
-    return numbered.withColumn(_CHUNK, F.floor((F.col(_POSITION) - 1) / limit).cast("bigint"))
+    if bounded:
+        return Arranged(df, tuple(keys), columns, 0, True)
+    parts = [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    # One value, never NULL and equal for equal NULLs, so that joins by it are plain ones.
+    bucket = F.struct(*parts, bucket_of(df, columns[0], width).alias("b"))
+    chunk = group_rows or int(df.sparkSession.conf.get(CHUNK_ROWS_SETTING, str(CHUNK_ROWS)))
+    return Arranged(df.withColumn(_BUCKET, bucket), tuple(keys), columns, chunk)
 
 
 # -- operators -----------------------------------------------------------------------------
@@ -236,8 +246,9 @@ def running_columns(
     order: Sequence[str | Column],
     specs: dict[str, Running | Recent],
     group_rows: int | None = None,
+    width: int | None = None,
 ) -> DataFrame:
-    return arrange(df, keys, order, group_rows).add(specs).done()
+    return arrange(df, keys, order, group_rows, width).add(specs).done()
 
 
 def numbered(
@@ -248,7 +259,7 @@ def numbered(
     group_rows: int | None = None,
 ) -> DataFrame:
     """Add the 1-based position of each row in its group."""
-    laid = arrange(df, keys, order, group_rows)
+    laid = arrange(df, keys, order, group_rows).numbered()
     return laid.df.withColumn(name, laid.position()).drop(*_LAYOUT)
 
 
@@ -287,17 +298,67 @@ def trailing_range(
     keys: Sequence[str],
     axis: str,
     spans: dict[str, Span],
-    group_rows: int | None = None,
+    width: int = BLOCK,
+    bounded: bool = False,
 ) -> DataFrame:
-    """Sums over spans of a whole-number axis per group; an empty span gives 0."""
-    if group_limit(df, group_rows) is not None:
-        return _trailing_by_prefix(df.withColumn("_t", F.col(axis)), keys, spans, group_rows).drop("_t")
-    along = Window.partitionBy(*keys).orderBy(axis)
-    sums = [
-        F.coalesce(F.sum(s.column).over(along.rangeBetween(s.start, s.end)), F.lit(0.0)).alias(name)
-        for name, s in spans.items()
+    """Sums over spans of a whole-number axis per group; an empty span and a NULL axis give 0.
+
+    Buckets of `width` that lie in a span for every row of a bucket are summed from one row per group and bucket.
+    The rows of those that a span may cut are shown to the buckets that ask for them.
+    """
+    t, parts = F.col(axis), [F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]
+    if bounded:
+        group = Window.partitionBy(*keys).orderBy(axis)
+        sums = {n: F.sum(s.column).over(group.rangeBetween(s.start, s.end)) for n, s in spans.items()}
+        return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in spans], *[
+            F.coalesce(F.when(t.isNotNull(), v), F.lit(0.0)).alias(n) for n, v in sums.items()])
+    bucket = F.floor(t / F.lit(width)).cast("bigint")
+    laid = df.withColumn(_BUCKET, F.struct(*parts, bucket.alias("b")))
+    # For each span: the offsets of the buckets that it may cut, and of the first and last that it surely holds.
+    cut: dict[str, set[int]] = {}
+    whole: dict[str, tuple[int, int]] = {}
+    for name, s in spans.items():
+        first, last = s.start // width, s.end // width
+        starts = {first} if s.start % width == 0 else {first, first + 1}
+        if s.end % width == width - 1:  # up to an instant before one of the bucket `last + 1`: `last` is never cut
+            ends, held_to = {last + 1}, last
+        else:
+            ends = {last} if s.end % width == 0 else {last, last + 1}
+            held_to = min(ends) - 1
+        cut[name], whole[name] = starts | ends, (max(starts) + 1, held_to)
+    columns = sorted({s.column for s in spans.values()})
+    sums = laid.groupBy(F.col(_BUCKET).alias("_of")).agg(*[F.sum(c).alias(f"_all_{c}") for c in columns])
+    groups = Window.partitionBy(*[F.col("_of")[f"k{i}"] for i in range(len(keys))]).orderBy(F.col("_of")["b"])
+    held = sums.select("_of", *[
+        F.sum(f"_all_{spans[n].column}").over(groups.rangeBetween(a, z)).alias(f"_whole_{n}")
+        for n, (a, z) in whole.items() if a <= z
+    ])
+    # A row is shown to a bucket only if a span of some moment in there, starting or ending in the row's own, holds it.
+    targets = [F.lit(0)]
+    for o in sorted({o for those in cut.values() for o in those} - {0}):
+        begin = (bucket - o) * width
+        reach = [(t - spans[n].start >= begin) & (t - spans[n].end <= begin + width - 1) for n in spans if o in cut[n]]
+        targets.append(F.when(reduce(or_, reach), F.lit(-o)))
+    targets = F.explode(F.array_compact(F.array(*targets))).alias("_ahead")
+    needed = {axis, _BUCKET, *keys, *columns}
+    shown = laid.select("*", targets)
+    own = F.col("_ahead") == 0
+    shown = shown.select(
+        "_ahead", *[F.col(f"`{c}`") if c in needed else F.when(own, F.col(f"`{c}`")).alias(c) for c in df.columns],
+        F.struct(*[F.col(_BUCKET)[f"k{i}"].alias(f"k{i}") for i in range(len(keys))],
+                 (F.col(_BUCKET)["b"] + F.col("_ahead")).alias("b")).alias(_BUCKET),
+    )
+    along = Window.partitionBy(_BUCKET).orderBy(axis)
+    edges = [
+        F.sum(F.when((-F.col("_ahead")).isin(*cut[n]), F.col(s.column))).over(along.rangeBetween(s.start, s.end)).alias(f"_edge_{n}")
+        for n, s in spans.items()
     ]
-    return df.select("*", *sums)
+    met = shown.select("*", *edges).filter(own).join(held, F.col(_BUCKET) == F.col("_of"))
+    zero = lambda c: F.coalesce(F.when(t.isNotNull(), c), F.lit(0.0))
+    return met.select(*[F.col(f"`{c}`") for c in df.columns if c not in spans], *[
+        ((zero(F.col(f"_whole_{n}")) + zero(F.col(f"_edge_{n}"))) if whole[n][0] <= whole[n][1] else zero(F.col(f"_edge_{n}"))).alias(n)
+        for n in spans
+    ])
 
 
 def trailing_time(
@@ -306,59 +367,31 @@ def trailing_time(
     ts: str,
     spans: dict[str, Span],
     calendar_days: bool = False,
-    group_rows: int | None = None,
+    width: int = DAY_MICROS,
+    bounded: bool = False,
 ) -> DataFrame:
     """Sums over spans of earlier time (microseconds) per group; an empty span gives 0."""
     moment = F.col(ts).cast("timestamp")
     timed = df.withColumn("_micros", F.unix_micros(F.date_trunc("day", moment) if calendar_days else moment))
-    return trailing_range(timed, keys, "_micros", spans, group_rows).drop("_micros")
-
-
-def _trailing_by_prefix(
-    timed: DataFrame, keys: Sequence[str], spans: dict[str, Span], group_rows: int | None
-) -> DataFrame:
-    """A span sum as the difference of two running totals, each computed in bounded chunks."""
-    columns = sorted({s.column for s in spans.values()})
-    offsets = sorted({s.start for s in spans.values()} | {s.end + 1 for s in spans.values()} | {0})
-    instants = timed.groupBy(*keys, "_t").agg(*[F.sum(c).alias(c) for c in columns])
-    # One mark per offset; the mark at 0 carries the values and sorts behind others of its instant.
-    marks = [
-        F.struct((F.col("_t") + o).alias("at"), F.lit(o).cast("bigint").alias("off"), F.lit(int(o == 0)).alias("own"))
-        for o in offsets
-    ]
-    points = instants.withColumn("_m", F.explode(F.array(*marks))).select(
-        *keys,
-        "_t",
-        F.col("_m.at").alias("_at"),
-        F.col("_m.off").alias("_off"),
-        F.col("_m.own").alias("_own"),
-        *[F.when(F.col("_m.own") == 1, F.col(c)).alias(c) for c in columns],
-    )
-    totals = running_columns(
-        points, keys, ["_at", "_own", "_off"], {f"_p_{c}": prior_sum(c) for c in columns}, group_rows
-    )
-    before = lambda c, offset: F.max(F.when(F.col("_off") == offset, F.col(f"_p_{c}")))
-    sums = totals.groupBy(*[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_t").alias("_k__t")).agg(
-        *[(before(s.column, s.end + 1) - before(s.column, s.start)).alias(n) for n, s in spans.items()]
-    )
-    joined = timed.join(sums, _same(timed, sums, (*keys, "_t"), "_k_"), "left")
-    return joined.select(*timed.columns, *spans)
+    return trailing_range(timed, keys, "_micros", spans, width, bounded).drop("_micros")
 
 
 def streaks(
-    df: DataFrame,
+    df: DataFrame | Arranged,
     keys: Sequence[str],
     order: Sequence[str | Column],
     flag: str,
     names: dict[object, str],
     group_rows: int | None = None,
 ) -> DataFrame:
-    """Length of the current run of equal `flag` values; `names` maps a flag value to its column."""
-    laid = arrange(df, keys, order, group_rows)
-    laid = laid.add({"_was": previous(flag)})
+    """Length of the current run of equal `flag` values; `names` maps a flag value to its column.
+
+    A frame that is laid out already is taken as it is.
+    """
+    laid = df if isinstance(df, Arranged) else arrange(df, keys, order, group_rows)
+    laid = laid.numbered().add({"_was": previous(flag)})
     changed = ~F.col(flag).eqNullSafe(F.col("_was")) | F.col("_was").isNull()
-    laid = laid._with(laid.df.withColumn("_row", laid.position()))
-    laid = laid.add({"_since": Running(F.when(changed, F.col("_row")), "max", here=True)})
-    length = (F.col("_row") - F.col("_since") + 1).cast("double")
+    laid = laid.add({"_since": Running(F.when(changed, laid.position()), "max", here=True)})
+    length = (laid.position() - F.col("_since") + 1).cast("double")
     runs = {name: F.when(F.col(flag) == value, length).otherwise(F.lit(0.0)) for value, name in names.items()}
-    return laid.done().withColumns(runs).drop("_was", "_row", "_since")
+    return laid.df.withColumns(runs).drop("_was", "_since", *_LAYOUT)

@@ -103,13 +103,13 @@ def test_unique_player_and_game_matches(spark):
     assert [(r.external_game_id, r.game_id) for r in I.external_game_ids(wanted, games).collect()] == [("x778001", "778001")]
 
 
-def test_asof_in_chunks_is_strict(spark):
+def test_asof_in_buckets_is_strict(spark):
     left = spark.createDataFrame([("k", t, t) for t in range(0, 40, 3)], "k string, s long, n long").withColumn("ts", F.timestamp_seconds("s"))
     right = spark.createDataFrame([("k", t, i) for i, t in enumerate(sorted([*range(0, 40, 4), 12]))], "k string, s long, v long").withColumn("ts", F.timestamp_seconds("s"))
     history = right.select("k", "ts", "v")
     want = {t: max([r.v for r in right.collect() if r.s < t], default=None) for t in range(0, 40, 3)}
-    for size in (1000, 3):
-        out = J.asof_strict(left, history, ["k"], "ts", ["v"], "v", group_rows=size)
+    for seconds in (1000, 10, 1):
+        out = J.asof_strict(left, history, ["k"], "ts", ["v"], "v", width=seconds * 1_000_000)
         tie_free = {r.n: r.v for r in out.collect()}
         assert tie_free.keys() == want.keys()
         assert all(tie_free[t] == v for t, v in want.items())

@@ -1,4 +1,4 @@
-"""Every window operator, plain and cut into chunks, against a direct pandas loop."""
+"""Every window operator, for chunks and buckets of any size, against a direct pandas loop."""
 
 import random
 from datetime import datetime, timedelta
@@ -56,8 +56,11 @@ def expected():
     return out
 
 
-@pytest.mark.parametrize("group_rows", [1000, 7, 3, 1])
-def test_windows_match_loop_for_any_chunk_size(frame, expected, group_rows):
+HOUR = 3_600_000_000
+
+
+@pytest.mark.parametrize("group_rows, width", [(None, None), (1000, 24 * HOUR), (7, 10 * HOUR), (3, 24 * 28 * HOUR), (1, 7 * HOUR)])
+def test_windows_match_loop_for_any_chunk_and_bucket(frame, expected, group_rows, width):
     specs = {
         "total": o.prior_sum("x"),
         "n": o.prior_count(),
@@ -67,8 +70,8 @@ def test_windows_match_loop_for_any_chunk_size(frame, expected, group_rows):
         "prev": o.previous("x"),
         "last": o.prior_last("x"),
     }
-    out = o.running_columns(frame, ["k"], ["ts", "id"], specs, group_rows)
-    out = o.trailing_time(out, ["k"], "ts", {"span": o.last_days("x", 3), "ago": o.days_ago("x", 1)}, group_rows=group_rows)
+    out = o.running_columns(frame, ["k"], ["ts", "id"], specs, group_rows, width)
+    out = o.trailing_time(out, ["k"], "ts", {"span": o.last_days("x", 3), "ago": o.days_ago("x", 1)}, **({"width": width} if width else {}))
     out = o.streaks(out, ["k"], ["ts", "id"], "home", {1: "home_run", 0: "away_run"}, group_rows)
     rows = out.collect()
     assert len(rows) == len(expected)
@@ -100,10 +103,64 @@ def test_numbering_and_latest(frame):
     assert {r.id for r in last.collect()} == {r.id for r in by_pos.collect()}
 
 
-def test_one_exchange_for_many_columns(frame):
+def test_no_window_over_rows_holds_a_group(frame):
+    """Windows are by bucket or chunk; only that over the table of buckets is by group."""
     out = o.running_columns(
         frame, ["k"], ["ts", "id"], {"a": o.prior_sum("x"), "b": o.last_rows("x", 3), "c": o.previous("x")}
     )
-    plan = out._jdf.queryExecution().executedPlan().toString()
-    assert plan.count("Exchange hashpartitioning") == 1
-    assert plan.count("Sort [") == 1
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "Window [" in line]
+    by = ["bucket" if "[_bucket#" in w else "chunk" if "_chunk#" in w else "group" for w in windows]
+    assert sorted(by) == ["bucket", "chunk", "group"]
+    assert ["_before_" in w for w in windows] == [k == "group" for k in by]
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") == 2  # the rows, and the table of their buckets
+
+
+def test_results_are_equal_to_the_last_bit(frame):
+    thirds = frame.withColumn("x", F.col("x") / 3)
+    specs = {"total": o.prior_sum("x"), "avg": o.last_rows("x", 4), "dec": o.decayed("x", 9), "sd": o.volatility("x", 5)}
+    runs = [sorted(o.running_columns(thirds.repartition(n), ["k"], ["ts", "id"], specs, n).select("id", *specs).collect()) for n in (2, 5, 1000)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+def test_a_hot_group_spreads_over_its_days(spark):
+    rows = spark.range(0, 40_000, 1, 4).select(
+        F.lit("hot").alias("k"), F.col("id"), (F.timestamp_seconds(F.col("id") * 60)).alias("ts"), (F.col("id") % 7).cast("double").alias("x"))
+    out = o.running_columns(rows, ["k"], ["ts", "id"], {"total": o.prior_sum("x"), "avg": o.last_rows("x", 3)}, 1000)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(sizes) == 40_000 and max(sizes) < 20_000
+    last = out.filter("id = 39999").first()
+    assert last.total == sum(i % 7 for i in range(39_999)) and last.avg == pytest.approx(sum(i % 7 for i in (39996, 39997, 39998)) / 3)
+
+
+def test_spans_at_any_place_of_a_bucket(spark):
+    rng = random.Random(9)
+    rows = [(rng.choice("ab"), rng.randrange(-40, 60) if i else None, float(rng.randrange(1, 9)), i) for i in range(160)]
+    frame = spark.createDataFrame(rows, "k string, t long, x double, id int")
+    spans = {f"s{i}": o.Span("x", a, z) for i, (a, z) in enumerate([(-1, -1), (0, 0), (-8, -1), (-16, -16), (-9, -3), (-20, 5), (3, 11), (-30, -17), (-7, 8)])}
+    for width in (1, 4, 8, 50):
+        for r in o.trailing_range(frame, ["k"], "t", spans, width).collect():
+            for name, s in spans.items():
+                want = sum(x for k, t, x, _ in rows if None not in (t, r.t) and k == r.k and r.t + s.start <= t <= r.t + s.end)
+                assert r[name] == want, (width, name, r)
+
+
+def test_order_by_fractions(spark):
+    values = [-1e300, -5.5, -5.25, -0.001, -0.0, 0.001, 0.5, 0.75, 1e9, 1e300, float("inf"), float("nan"), None]
+    frame = spark.createDataFrame([("k", v, i) for i, v in enumerate(values)], "k string, v double, i int")
+    got = {r.i: r.n for r in o.running_columns(frame, ["k"], ["v"], {"n": o.prior_count()}).collect()}
+    assert [got[i] for i in range(len(values))] == [*range(1, len(values)), 0]
+
+
+def test_bounded_groups_give_the_same_rows(frame):
+    specs = {"total": o.prior_sum("x"), "avg": o.last_rows("x", 4), "last": o.prior_last("x")}
+    rows = []
+    for bounded in (True, False):
+        laid = o.arrange(frame, ["k"], ["ts", "id"], bounded=bounded).add(specs)
+        out = o.streaks(laid, ["k"], ["ts", "id"], "home", {1: "run"})
+        rows.append(sorted(o.trailing_time(out, ["k"], "ts", {"s": o.last_days("x", 3)}, bounded=bounded).select("id", *specs, "run", "s").collect()))
+    assert rows[0] == rows[1]
