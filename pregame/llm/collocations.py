@@ -5,8 +5,8 @@ Texts are cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into words `[^\\x20\\
 1. `encode` writes the corpus as shards of about a million words of one language: distinct words and one
    number per word, 0 between pieces. All further steps read this table, so a lost executor changes nothing; it is
    bucketed by shard, so that what comes back to a shard meets it without moving it.
-2. Which n-grams can be frequent is found length by length. A shard counts the hashes of those n-grams whose
-   two (n-1)-grams are still in; one exchange by hash sums them over the shards, and what reaches `least`
+2. Which n-grams can be frequent is found length by length. A shard counts the hashes of all words and pairs, and
+   of those longer n-grams whose two (n-1)-grams are still in; one exchange by hash sums them over the shards, and what reaches `least`
    goes back to the shards it came from. Hashes of different phrases may clash, so this only lets too many in.
 3. Each shard sorts its phrases that are in and builds a count automaton of them, by exact words.
 4. The automata are cut into prefix ranges (of nearly equal numbers of phrases, from every 64th phrase),
@@ -194,7 +194,7 @@ def _counts_of(n: int):
         for b in batches:
             for row in _rows(b):
                 *before, (h, alive) = _Grams(row["lang"], row["words"], row["ids"]).hashes(n)
-                if before:
+                if "hashes" in row:
                     live = _among(before[-1][0], _sorted_hashes(row["hashes"])) & before[-1][1]
                     alive = alive & live[:-1] & live[1:]
                 found, counts = np.unique(h[alive], return_counts=True)
@@ -206,10 +206,13 @@ def _counts_of(n: int):
 
 
 def candidates(shards: DataFrame, longest: int, least: int) -> list[DataFrame]:
-    """For each length the hashes of n-grams that may reach `least`: shard and `hashes`, those that it holds."""
+    """For each length the hashes of n-grams that may reach `least`: shard and `hashes`, those that it holds.
+
+    Pairs are counted whole: the larger the corpus, the fewer words are rare, so words do not sift them.
+    """
     out: list[DataFrame] = []
     for n in range(1, longest + 1):
-        rows = shards.join(out[-1].hint("merge"), "shard") if out else shards
+        rows = shards.join(out[-1].hint("merge"), "shard") if n > 2 else shards
         counted = rows.mapInArrow(_counts_of(n), "h long, shard long, c long")
         total = F.sum("c").over(Window.partitionBy("h"))
         kept = counted.withColumn("total", total).filter(F.col("total") >= least)
