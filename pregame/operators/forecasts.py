@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pregame.operators.joins import require_columns
+from pregame.operators.medians import group_text, middles, small_table
 from pregame.operators.ordered import latest_per_key
 from pregame.schemas import THRESHOLDS
+from pregame.session import settle
 
 # Clipping of probabilities and the totals lines that are always scored.
 PROBABILITY_FLOOR = 1e-6
@@ -317,12 +320,22 @@ def total_line_metrics(df: DataFrame, by: Sequence[str] = (), lines: Sequence[fl
 
 
 def leaderboard(df: DataFrame, by: Sequence[str], metrics: Sequence[str], wins: Sequence[str] = ()) -> DataFrame:
-    """Mean, sample deviation and median per metric; share of rows below zero for `wins`."""
+    """Mean, sample deviation and median per metric; share of rows below zero for `wins`.
+
+    Medians come from narrowed histograms (`operators.medians`), so no task holds a group; `df` is written once.
+    The groups, models or variants, are few.
+    """
+    df = settle(df.select(*dict.fromkeys([*by, *metrics, *wins])))
     values = [F.count(F.lit(1)).alias("runs")]
     for m in metrics:
-        values += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std"), F.median(m).alias(f"{m}_median")]
+        values += [F.avg(m).alias(f"{m}_mean"), F.stddev_samp(m).alias(f"{m}_std")]
     values += [F.avg((F.col(w) < 0).cast("double")).alias(f"{w}_win_rate") for w in wins]
-    return df.groupBy(*by).agg(*values)
+    out = df.groupBy(*by).agg(*values).withColumn("_g", group_text(by))
+    found = middles(df, metrics, by)
+    lines = [(g, *[sum(found[g, m]) / 2 if (g, m) in found else None for m in metrics]) for g in {g for g, _ in found}]
+    medians = small_table(df.sparkSession, lines, [("_g", pa.string()), *[(f"{m}_median", pa.float64()) for m in metrics]])
+    order = [*by, "runs", *[f"{m}_{kind}" for m in metrics for kind in ("mean", "std", "median")], *[f"{w}_win_rate" for w in wins]]
+    return out.join(medians, "_g", "left").select(*order)
 
 
 def variant_summary(runs: dict[str, DataFrame], by: Sequence[str], metrics: Sequence[str]) -> DataFrame:

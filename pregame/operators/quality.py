@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregame.functions.scalars import is_missing_text, number, percent, zero_filled
 from pregame.operators.joins import require_columns
-from pregame.operators.ordered import running_columns, prior_sum
+from pregame.operators.medians import distinct_values, middles, small_table
+from pregame.session import settle
 
 # Name parts which mark a column as rolling.
 ROLLING_MARKERS = ("season_to_date", "last_", "recent_", "rest_days", "fatigue", "used_yesterday")
@@ -22,43 +24,30 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, (T.NumericType, T.BooleanType))]
 
 
-def _long(df: DataFrame, keys: Sequence[Column | str], columns: Sequence[str]) -> DataFrame:
-    """(keys, column, value) rows of numeric columns, spread in place."""
-    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]
-    return df.select(*keys, F.explode(F.array(*cells)).alias("_c")).select(*keys, "_c.column", "_c.value")
+def exact_medians(df: DataFrame, columns: Sequence[str], written: bool = False) -> DataFrame:
+    """(column, median) over all rows, exact at any size; a column without values has no row.
 
-
-MEDIAN_CHUNK = 1_000_000
-
-
-def exact_medians(df: DataFrame, columns: Sequence[str], group_rows: int | None = None) -> DataFrame:
-    """(column, median) over all rows, exact at any size.
-
-    Values are first counted per (column, value); the middle is then found on running counts, in
-    chunks of `group_rows` values (`MEDIAN_CHUNK` where not given), so no task holds a column.
+    Histograms are narrowed in passes (`operators.medians`), so `df` is written once, unless it is a
+    `written` table already.
     """
-    group_rows = group_rows or MEDIAN_CHUNK
-    counts = _long(df, [], columns).filter(F.col("value").isNotNull()).groupBy("column", "value").agg(
-        F.count(F.lit(1)).cast("double").alias("n")
-    )
-    totals = counts.groupBy("column").agg(F.sum("n").alias("total"))
-    ranked = running_columns(counts, ["column"], ["value"], {"before": prior_sum("n")}, group_rows).join(totals, "column")
-    low, high = F.floor((F.col("total") + 1) / 2), F.ceil((F.col("total") + 1) / 2)
-    holds = lambda rank: (F.col("before") < rank) & (rank <= F.col("before") + F.col("n"))
-    return ranked.groupBy("column").agg(
-        ((F.max(F.when(holds(low), F.col("value"))) + F.max(F.when(holds(high), F.col("value")))) / 2).alias("median")
-    )
+    rows = df if written else settle(df.select(*columns))
+    lines = [(column, (low + high) / 2) for (_, column), (low, high) in middles(rows, columns).items()]
+    return small_table(df.sparkSession, lines, [("column", pa.string()), ("median", pa.float64())])
 
 
-def null_rates(df: DataFrame, medians: bool = True, group_rows: int | None = None) -> DataFrame:
+def null_rates(df: DataFrame, medians: bool = True, written: bool = False) -> DataFrame:
     """Per column: type, rows, nulls, and for numbers zero rate, least, median and greatest value.
 
-    One pass of partial aggregates over all columns, unfolded to rows afterwards; the exact
-    medians take a second pass.
+    One pass of partial aggregates over all columns, unfolded to rows afterwards. With exact medians, which
+    take passes of their own, `df` is written first, unless it is a `written` table.
     """
     numbers = set(numeric_columns(df))
+    fields = df.schema.fields
+    if medians and numbers and not written:
+        # A column without a type cannot be written.
+        df = settle(df.withColumns({f.name: F.col(f"`{f.name}`").cast("string") for f in fields if isinstance(f.dataType, T.NullType)}))
     measures = []
-    for f in df.schema.fields:
+    for f in fields:
         c = F.col(f"`{f.name}`")
         value = c.cast("double") if f.name in numbers else F.lit(None).cast("double")
         measures.append(
@@ -81,7 +70,7 @@ def null_rates(df: DataFrame, medians: bool = True, group_rows: int | None = Non
         F.when(F.col("rows") > 0, F.col("zeros") / F.col("rows")).alias("zero_rate"), "min", "max",
     )
     if medians and numbers:
-        out = out.join(exact_medians(df, sorted(numbers), group_rows), "column", "left")
+        out = out.join(exact_medians(df, sorted(numbers), written=True), "column", "left")
     return out
 
 
@@ -249,14 +238,13 @@ def distinct_members(tables: dict[str, tuple[DataFrame, Sequence[str]]]) -> Data
 def diagnostics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Non-null rate and distinct count per numeric column.
 
-    Rates are one pass of partial aggregates. Distinct values are counted after one exchange of (column,
-    value) pairs that each task has already reduced to its distinct ones.
+    Rates are one pass of partial aggregates. Distinct values are reduced inside each task, column by column,
+    and only (column, value) pairs that are left are exchanged.
     """
     rates = df.agg(F.count(F.lit(1)).alias("n"), F.array(*[
         F.struct(F.lit(c).alias("column"), F.count(c).alias("known")) for c in columns]).alias("m"))
     flat = rates.select("n", F.explode("m").alias("m")).select("m.column", (F.col("m.known") / F.col("n")).alias("non_null_rate"))
-    values = _long(df, [], columns).filter(F.col("value").isNotNull()).distinct()
-    distinct = values.groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
+    distinct = distinct_values(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("n_distinct"))
     return flat.join(distinct, "column", "left").select("column", "non_null_rate", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 

@@ -1,3 +1,5 @@
+import math
+import random
 import statistics
 
 import pytest
@@ -7,6 +9,7 @@ from pregame.functions import scalars as C
 from pregame.operators import events as E
 from pregame.operators import identity as I
 from pregame.operators import joins as J
+from pregame.operators import medians as M
 from pregame.operators import parks, quality
 
 
@@ -126,12 +129,33 @@ def test_set_continuity_in_chunks(spark):
         assert out["g4", "a"] == (None, None) and out["g5", "x"] == (0.0, 1.0) and out["g5", "a"] == (1.0, 1.0)
 
 
-def test_exact_medians_in_chunks(spark):
+def test_exact_medians_by_narrowed_histograms(spark):
     values = [5.0, 1.0, 1.0, 1.0, 8.0, 2.0, 2.0, 9.0, None]
-    df = spark.createDataFrame([(v, float(i)) for i, v in enumerate(values)], "a double, b double")
+    df = spark.createDataFrame([(v, float(i), None) for i, v in enumerate(values)], "a double, b double, empty double")
     want = {"a": statistics.median([v for v in values if v is not None]), "b": 4.0}
-    for size in (1000, 2):
-        assert {r["column"]: r["median"] for r in quality.exact_medians(df, ["a", "b"], size).collect()} == want
+    for parts in (1, 5):
+        assert {r["column"]: r["median"] for r in quality.exact_medians(df.repartition(parts), ["a", "b", "empty"]).collect()} == want
+    assert quality.exact_medians(df.limit(0), ["a", "b"]).collect() == []
+
+
+def test_middles_of_groups_and_of_all_earlier_seasons(spark):
+    draw = random.Random(5)
+    odd = [-0.0, 0.0, math.inf, -math.inf, 5e-324, -1e308, 1.0, 1.0 + 2**-52]
+    rows = [(draw.choice([2020, 2021, 2023, None]), draw.choice(["x", None]), draw.choice([*odd, draw.gauss(0, 1e-3), draw.gauss(1e6, 1), None]))
+            for _ in range(900)]
+    df = spark.createDataFrame(rows, "season int, g string, v double").repartition(6)
+
+    def want(chosen):
+        known = sorted(v for v in chosen if v is not None)
+        return known[(len(known) - 1) // 2], known[len(known) // 2]
+
+    grouped = M.middles(df, ["v"], ["g"])
+    assert grouped == {('{"g":"x"}', "v"): want(v for _, g, v in rows if g == "x"), ("{}", "v"): want(v for _, g, v in rows if g is None)}
+    earlier = M.middles(df, ["v"], before=("season", [2020, 2021, 2022, 2024]))
+    assert earlier == {(str(c), "v"): want(v for s, _, v in rows if s is not None and s < c) for c in (2021, 2022, 2024)}
+    nan = spark.createDataFrame([(math.nan,), (math.nan,), (1.0,)], "v double")
+    assert math.isnan(M.middles(nan, ["v"])["", "v"][0])
+    assert M.distinct_values(nan.union(df.select("v")), ["v"]).count() == len({v for *_, v in rows if v is not None} | {1.0}) + 1
 
 
 def test_quality_report(spark):
