@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pregame.functions.rates import recency_weight
 from pregame.operators import forecasts as X
+from pregame.operators.ridge import fit_before, score_cuts
 from pregame.schemas import TARGET, feature_columns
 from pregame.session import settle
 
@@ -437,13 +438,19 @@ def selective_picks(oof: DataFrame, primary: str, challengers: Sequence[str], le
     }
 
 
+def _run_columns(df: DataFrame) -> DataFrame:
+    """Both sides' forecasts cut at 0, their sum and difference; NULL stays NULL."""
+    cut = lambda c: F.when(F.col(c).isNotNull(), F.greatest(F.col(c), F.lit(0.0)))
+    home, away = RUNS_COLUMNS[:2]
+    out = df.withColumns({c: cut(c) for c in (home, away)})
+    return out.withColumns({"expected_total_runs": F.col(home) + F.col(away), "expected_run_diff": F.col(home) - F.col(away)})
+
+
 def _runs(train: DataFrame, test: DataFrame, name: str, features: Sequence[str], seed: int) -> DataFrame:
     out = test
     for side, column in (("home", "expected_home_runs"), ("away", "expected_away_runs")):
-        fitted = fit_regressor(name, train, features, f"{side}_score", seed + (side == "away"), column)
-        out = fitted.score(out).withColumn(column, F.greatest(F.col(column), F.lit(0.0)))
-    home, away = F.col("expected_home_runs"), F.col("expected_away_runs")
-    return out.withColumns({"expected_total_runs": home + away, "expected_run_diff": home - away})
+        out = fit_regressor(name, train, features, f"{side}_score", seed + (side == "away"), column).score(out)
+    return _run_columns(out)
 
 
 def expected_runs(
@@ -469,10 +476,17 @@ def with_expected_runs(
 ) -> DataFrame:
     """Add run predictions to the given seasons (all but the first), each from models of earlier seasons only.
 
-    Every fit reads `df`: give a written table where its plan is long.
+    `ridge` fits all seasons and both sides from one pass of sums (`operators.ridge`); other models are fitted one
+    by one, and each fit reads `df`. Give a written table where its plan is long.
     """
+    seasons = later_seasons(df) if seasons is None else list(seasons)
+    if name == "ridge":
+        columns = list(features) if features is not None else feature_columns(df, RUNS_COLUMNS)
+        fits = fit_before(df, columns, ["home_score", "away_score"], seasons)
+        out = score_cuts(df, fits, columns, {"home_score": RUNS_COLUMNS[0], "away_score": RUNS_COLUMNS[1]}, seasons)
+        return _run_columns(out)
     scored = None
-    for season in later_seasons(df) if seasons is None else seasons:
+    for season in seasons:
         train, test = df.filter(F.col("season") < season), df.filter(F.col("season") == season)
         if train.isEmpty() or test.isEmpty():
             continue

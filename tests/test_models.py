@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +88,70 @@ def test_expected_runs_use_earlier_seasons_only(sheet):
     assert result["metrics"].first().n_games == 120 and result["totals"].count() == 5
 
 
+def _plain_ridge(x, y, at):
+    """Medians, population deviations and normal equations, written out."""
+    fill = np.nanmedian(x, axis=0)
+    full = np.where(np.isnan(x), fill, x)
+    mean, sd = full.mean(0), full.std(0)
+    sd[sd == 0] = 1.0
+    z = (full - mean) / sd
+    w = np.linalg.solve(z.T @ z + np.eye(x.shape[1]), z.T @ (y - y.mean()))
+    return y.mean() + ((np.where(np.isnan(at), fill, at) - mean) / sd) @ w
+
+
+def test_ridge_of_all_seasons_from_one_pass(spark):
+    draw = np.random.default_rng(4)
+    n = 400
+    season = draw.choice([2019, 2020, 2022, 2023], n)
+    x = np.column_stack([draw.normal(1e6, 2, n), draw.normal(0, 1e-3, n), np.full(n, 7.0), draw.integers(0, 3, n).astype(float)])
+    x[draw.random((n, 4)) < 0.2] = np.nan
+    x[season < 2022, 3] = np.nan  # nothing is known before 2022: no coefficient for the fits of 2020 and 2022
+    y = np.column_stack([x[:, 1] * 0 + draw.normal(4, 1, n), draw.normal(5, 2, n)])
+    y[:, 0] = np.where(np.isnan(y[:, 0]), 4.0, y[:, 0] + np.nan_to_num(x[:, 1]) * 500)
+    y[draw.random(n) < 0.1, 1] = np.nan
+    rows = [(f"g{i}", int(season[i]), *[None if np.isnan(v) else float(v) for v in (*x[i], *y[i])]) for i in range(n)]
+    rows.append(("none", None, 1e6, 0.0, 7.0, 1.0, 9.0, 900.0))
+    df = spark.createDataFrame(rows, "game_id string, season int, a double, b double, c double, d double, home_score double, away_score double").repartition(5)
+    out = {r.game_id: r for r in M.with_expected_runs(df, None, "ridge", ["a", "b", "c", "d"]).collect()}
+    assert len(out) == n + 1 and out["none"].expected_home_runs is None
+    for i in range(n):
+        before = season < season[i]
+        got = (out[f"g{i}"].expected_home_runs, out[f"g{i}"].expected_away_runs)
+        if season[i] == 2019:
+            assert got == (None, None)
+            continue
+        use = [0, 1, 2] if season[i] <= 2022 else [0, 1, 2, 3]
+        for t in (0, 1):
+            learn = before & ~np.isnan(y[:, t])
+            want = max(0.0, _plain_ridge(x[learn][:, use], y[learn, t], x[i, use]))
+            assert got[t] == pytest.approx(want, abs=1e-7)
+    assert M.with_expected_runs(df.limit(0), None, "ridge", ["a"]).count() == 0
+    few = M.with_expected_runs(df, [2020, 2031], "ridge", ["a", "b"]).filter("expected_total_runs is not null")
+    assert {r.season for r in few.select("season").distinct().collect()} == {2020}
+
+
+def _newton_logistic(a, y, copies, deviation):
+    """Penalty 1 on the scaled coefficient, every row `copies` times."""
+    x, b = np.column_stack([(a - a.mean()) / deviation, np.ones_like(a)]), np.zeros(2)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-x @ b))
+        slope = copies * x.T @ (p - y) + np.array([b[0], 0.0])
+        b -= np.linalg.solve(copies * (x.T * (p * (1 - p))) @ x + np.diag([1.0, 0.0]), slope)
+    return 1 / (1 + np.exp(-x @ b))
+
+
+def test_weights_count_as_repeated_rows(sheet):
+    """Both equal the plain fit; they differ by the scaler alone, whose deviation divides by rows less one."""
+    rows = sheet.orderBy("game_id").select("a", "home_team_win").collect()
+    a, y = np.array([r.a for r in rows]), np.array([float(r.home_team_win) for r in rows])
+    score = lambda fitted: np.array([r[0] for r in fitted.score(sheet).orderBy("game_id").select(M.PROBABILITY).collect()])
+    weighted = score(M.fit_classifier("logistic", sheet.withColumn("w", F.lit(2.0)), ["a"], weight="w"))
+    repeated = score(M.fit_classifier("logistic", sheet.union(sheet), ["a"]))
+    assert np.abs(weighted - _newton_logistic(a, y, 2, a.std(ddof=1))).max() < 1e-6
+    assert np.abs(repeated - _newton_logistic(a, y, 2, np.r_[a, a].std(ddof=1))).max() < 1e-6
+    assert np.abs(weighted - _newton_logistic(a, y, 1, a.std(ddof=1))).max() > 1e-2
+
+
 def test_saved_model_scores_frames_without_some_columns(sheet, tmp_path):
     fitted = M.fit_classifier("logistic", sheet, ["a", "b"])
     M.save(fitted, str(tmp_path / "m"))
