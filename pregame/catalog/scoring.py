@@ -405,13 +405,13 @@ def logs_with_event_sums(spark, folder):
 
 
 @query("""SELECT s_suppkey AS external_player_id, min(c_custkey) AS player_id FROM supplier
-  JOIN customer ON right(s_name, 5) = right(c_name, 5) GROUP BY s_suppkey HAVING count(DISTINCT c_custkey) = 1""")
+  JOIN customer ON split_part(s_name, '#', 2) = split_part(c_name, '#', 2) GROUP BY s_suppkey HAVING count(DISTINCT c_custkey) = 1""")
 def external_player_ids(spark, folder):
     provider = read(spark, folder, "supplier").select(
-        F.col("s_suppkey").alias("external_player_id"), F.concat(F.lit("P. "), F.right("s_name", F.lit(5)), F.lit(" Jr.")).alias("player_name")
+        F.col("s_suppkey").alias("external_player_id"), F.concat(F.lit("P. "), F.split_part("s_name", F.lit("#"), F.lit(2)), F.lit(" Jr.")).alias("player_name")
     )
     register = read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("mlbam_id"), F.lit("p").alias("name_first"), F.right("c_name", F.lit(5)).alias("name_last"),
+        F.col("c_custkey").alias("mlbam_id"), F.lit("p").alias("name_first"), F.split_part("c_name", F.lit("#"), F.lit(2)).alias("name_last"),
         F.lit(None).cast("string").alias("name_given"), F.lit(1990).alias("mlb_played_first"), F.lit(2030).alias("mlb_played_last"),
     )
     return I.external_player_ids(provider, register, 2024).select("external_player_id", "player_id")

@@ -138,12 +138,12 @@ def part_set_continuity(spark, folder):
 
 @query("""WITH l AS (SELECT c_custkey, lower(replace(c_name, 'Customer#', '')) AS k, c_nationkey AS n FROM customer),
  r AS (SELECT s_suppkey, lower(replace(s_name, 'Supplier#', '')) AS k, s_nationkey AS n FROM supplier),
- m AS (SELECT c_custkey, s_suppkey FROM l JOIN r ON right(l.k, 2) = right(r.k, 2) AND l.n = r.n)
+ m AS (SELECT c_custkey, s_suppkey FROM l JOIN r ON l.k = r.k AND l.n = r.n)
  SELECT c_custkey, min(s_suppkey) AS s_suppkey FROM m GROUP BY c_custkey HAVING count(DISTINCT s_suppkey) = 1""")
 def unique_name_matches(spark, folder):
-    tail = lambda c, word: F.right(F.lower(F.regexp_replace(c, word, "")), F.lit(2))
-    left = read(spark, folder, "customer").select("c_custkey", tail("c_name", "Customer#").alias("k"), F.col("c_nationkey").alias("n"))
-    right = read(spark, folder, "supplier").select("s_suppkey", tail("s_name", "Supplier#").alias("k"), F.col("s_nationkey").alias("n"))
+    name = lambda c, word: F.lower(F.regexp_replace(c, word, ""))
+    left = read(spark, folder, "customer").select("c_custkey", name("c_name", "Customer#").alias("k"), F.col("c_nationkey").alias("n"))
+    right = read(spark, folder, "supplier").select("s_suppkey", name("s_name", "Supplier#").alias("k"), F.col("s_nationkey").alias("n"))
     return J.unique_match(left, right, ["k", "n"], "c_custkey", "s_suppkey").select("c_custkey", "s_suppkey")
 
 

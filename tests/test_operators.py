@@ -129,6 +129,18 @@ def test_set_continuity_in_chunks(spark):
         assert out["g4", "a"] == (None, None) and out["g5", "x"] == (0.0, 1.0) and out["g5", "a"] == (1.0, 1.0)
 
 
+def test_unique_match_drops_ambiguous_names(spark):
+    """Against plain counting: names shared on either side, NULL names and ids, repeated rows."""
+    draw = random.Random(9)
+    left = [(i, draw.choice(["a", "b", "c", "d", None])) for i in range(30)] * 2 + [(i, "b") for i in range(5)]
+    right = [(100, "a"), (100, "a"), (101, "b"), (102, "b"), (None, "c"), (103, "c"), (104, None)]
+    met = {}
+    for i, k in left:
+        met.setdefault(i, set()).update(r for r, name in right if r is not None and k is not None and name == k)
+    out = J.unique_match(spark.createDataFrame(left, "l int, k string"), spark.createDataFrame(right, "r int, k string"), ["k"], "l", "r")
+    assert sorted((r.l, r.r) for r in out.select("l", "r").collect()) == sorted((i, *found) for i, found in met.items() if len(found) == 1)
+
+
 def test_exact_medians_by_narrowed_histograms(spark):
     values = [5.0, 1.0, 1.0, 1.0, 8.0, 2.0, 2.0, 9.0, None]
     df = spark.createDataFrame([(v, float(i), None) for i, v in enumerate(values)], "a double, b double, empty double")
