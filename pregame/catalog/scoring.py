@@ -267,6 +267,42 @@ def null_rate_report(spark, folder):
     return rounded(Q.null_rates(_sheet(spark, folder)).drop("dtype"))
 
 
+# (column, value in SQL, value as an expression Spark reads too); the tracking and the empty one stay out.
+_MODEL_COLUMNS = [
+    ("home_score", "CAST(o_custkey % 11 AS DOUBLE)"), ("statcast_pitches", "CAST(o_custkey % 90 AS DOUBLE)"),
+    ("sp_whiff_rate_diff", "CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderkey % 7 AS DOUBLE) END"),
+    ("rest_diff", "CASE WHEN o_orderkey % 5 <> 0 THEN CAST(o_custkey % 6 AS DOUBLE) END"),
+    ("is_late", "o_orderpriority = '5-LOW'"), ("never_known", "CASE WHEN o_orderkey < 0 THEN CAST(o_orderkey AS DOUBLE) END"),
+]
+_MODEL_SQL = "m AS (SELECT CAST(o_orderkey AS VARCHAR) AS game_id, CAST(year(o_orderdate) AS INTEGER) AS season, " + ", ".join(
+    f"{text} AS {name}" for name, text in _MODEL_COLUMNS) + " FROM orders)"
+
+
+def _model_table(spark, folder):
+    orders = read(spark, folder, "orders")
+    return orders.select(F.col("o_orderkey").cast("string").alias("game_id"), F.year("o_orderdate").alias("season"),
+                         *[F.expr(text).alias(name) for name, text in _MODEL_COLUMNS])
+
+
+def _set_row(name, status, reason):
+    return f"SELECT '{name}' AS \"column\", '{status}' AS status, '{reason}' AS reason, count({name}) AS non_null, 1 - count({name}) / count(*) AS null_rate FROM m"
+
+
+@query(rounded_sql(" UNION ALL ".join([
+    *[_set_row(c, "excluded", "identifier_or_target") for c in ("season", "home_score")],
+    *[_set_row(c, "excluded", "mlb_only_tracking") for c in ("statcast_pitches", "sp_whiff_rate_diff")],
+    *[_set_row(c, "included", "npb_public_or_proxy") for c in ("rest_diff", "is_late")], _set_row("never_known", "excluded", "all_null"),
+]), ["null_rate"], with_=_MODEL_SQL))
+def feature_set_report(spark, folder):
+    return rounded(Q.feature_set(_model_table(spark, folder)))
+
+
+@query(f"WITH {_MODEL_SQL} SELECT game_id, season, home_score, rest_diff, is_late FROM m")
+def model_ready_features(spark, folder):
+    table = _model_table(spark, folder)
+    return Q.model_ready(table, Q.feature_set(table))
+
+
 @query(rounded_sql("""SELECT season, count(*) AS rows, CAST(min(game_date) AS DATE) AS first_date, CAST(max(game_date) AS DATE) AS last_date,
   avg(won) AS home_win_rate FROM s GROUP BY season""", ["home_win_rate"], with_=SHEET))
 def season_report(spark, folder):

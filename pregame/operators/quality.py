@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from pregame.functions.scalars import is_missing_text, number, percent, zero_filled
 from pregame.operators.joins import require_columns
 from pregame.operators.medians import distinct_values, middles, small_table
+from pregame.schemas import NON_FEATURES
 from pregame.session import settle
 
 # Name parts which mark a column as rolling.
@@ -137,6 +138,56 @@ def column_status(df: DataFrame, reserved: Sequence[str] = ()) -> DataFrame:
     )
 
 
+# Columns that only optical tracking fills, reasons of a feature set, columns a model table carries along.
+TRACKING_MARKER = "statcast"
+TRACKING_COLUMNS = (
+    "home_sp_whiff_rate_to_date", "away_sp_whiff_rate_to_date", "sp_whiff_rate_diff",
+    "home_sp_avg_fastball_velocity_to_date", "away_sp_avg_fastball_velocity_to_date", "sp_fastball_velocity_diff",
+)
+REASONS = {"reserved": "identifier_or_target", "tracking": "mlb_only_tracking", "usable": "npb_public_or_proxy", "empty": "all_null"}
+CARRIED = (
+    "game_id", "game_date", "season", "home_team", "away_team", "home_score", "away_score", "home_team_win",
+    "home_sp_id", "away_sp_id", "venue_id", "prediction_mode",
+)
+
+
+def feature_set(df: DataFrame, reserved: Sequence[str] | None = None, reasons: dict[str, str] = REASONS) -> DataFrame:
+    """(column, status, reason, non_null, null_rate) of each numeric or boolean column, for leagues without tracking.
+
+    Reserved columns (by default those that no model may read) are excluded first, then tracking columns, then
+    columns without any value, NaN not counting as one. One pass of partial aggregates; an empty table has NULL rates.
+    """
+    held = set(NON_FEATURES if reserved is None else reserved)
+    cells = []
+    for name in numeric_columns(df):
+        c = F.col(f"`{name}`")
+        known = F.count_if(c.isNotNull() & ~F.isnan(c.cast("double")))
+        tracked = TRACKING_MARKER in name or name in TRACKING_COLUMNS
+        kind = "reserved" if name in held else "tracking" if tracked else None
+        reason = F.lit(reasons[kind]) if kind else F.when(known > 0, reasons["usable"]).otherwise(reasons["empty"])
+        cells.append(F.struct(
+            F.lit(name).alias("column"), reason.alias("reason"), known.alias("non_null"), F.count(F.lit(1)).alias("rows")))
+    if not cells:
+        return df.sparkSession.createDataFrame([], "column string, status string, reason string, non_null bigint, null_rate double")
+    flat = df.agg(F.array(*cells).alias("m")).select(F.explode("m").alias("m")).select("m.*")
+    out = flat.select(
+        "column", F.when(F.col("reason") == reasons["usable"], "included").otherwise("excluded").alias("status"), "reason", "non_null",
+        F.when(F.col("rows") > 0, (F.col("rows") - F.col("non_null")) / F.col("rows")).alias("null_rate"),
+    )
+    return out.orderBy("status", "reason", "column")
+
+
+def model_ready(df: DataFrame, chosen: DataFrame, carried: Sequence[str] = CARRIED) -> DataFrame:
+    """The carried columns, then the included ones of a feature set, as far as `df` has them.
+
+    The names are read from `chosen` on the driver, as many as there are columns; rows are only projected.
+    """
+    require_columns(chosen, ["column", "status"], "feature_set")
+    names = [r[0] for r in chosen.filter(F.col("status") == "included").select("column").collect()]
+    there = set(df.columns)
+    return df.select(*[F.col(f"`{c}`") for c in dict.fromkeys([*carried, *sorted(names)]) if c in there])
+
+
 def distinct_coverage(tables: dict[str, DataFrame], key: str, base: DataFrame) -> DataFrame:
     """Distinct keys per table and over all tables together, with their share of the base keys."""
     tagged = None

@@ -170,6 +170,28 @@ def test_middles_of_groups_and_of_all_earlier_seasons(spark):
     assert M.distinct_values(nan.union(df.select("v")), ["v"]).count() == len({v for *_, v in rows if v is not None} | {1.0}) + 1
 
 
+def test_feature_set_and_model_ready_table(spark):
+    df = spark.createDataFrame(
+        [("g1", 2024, 3.0, 1.0, None, math.nan, True, "x", 0.5), ("g2", 2024, 4.0, None, None, None, False, "y", None)],
+        "game_id string, season int, home_score double, rest double, empty double, nan_only double, flag boolean, note string, home_statcast_x double")
+    chosen = quality.feature_set(df)
+    lines = [(r["column"], r.status, r.reason, r.non_null, r.null_rate) for r in chosen.collect()]
+    assert lines == [
+        ("empty", "excluded", "all_null", 0, 1.0), ("nan_only", "excluded", "all_null", 0, 1.0),
+        ("home_score", "excluded", "identifier_or_target", 2, 0.0), ("season", "excluded", "identifier_or_target", 2, 0.0),
+        ("home_statcast_x", "excluded", "mlb_only_tracking", 1, 0.5),
+        ("flag", "included", "npb_public_or_proxy", 2, 0.0), ("rest", "included", "npb_public_or_proxy", 1, 0.5),
+    ]
+    ready = quality.model_ready(df, chosen)
+    assert ready.columns == ["game_id", "season", "home_score", "flag", "rest"] and ready.count() == 2
+    assert quality.model_ready(df.drop("rest"), chosen).columns == ["game_id", "season", "home_score", "flag"]
+    bare = quality.feature_set(df.limit(0))
+    assert {(r.status, r.null_rate) for r in bare.collect()} == {("excluded", None)}
+    assert quality.feature_set(df.select("note")).collect() == []
+    with pytest.raises(ValueError):
+        quality.model_ready(df, chosen.drop("status"))
+
+
 def test_quality_report(spark):
     df = spark.createDataFrame([("g1", 2024, "2024-04-01", 1.0, 1), ("g2", 2024, "2024-05-02", None, 0)],
                                "game_id string, season int, d string, x_last_10 double, won int").withColumn("game_date", F.to_timestamp("d"))
