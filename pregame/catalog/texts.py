@@ -161,6 +161,85 @@ def page_table_rows(spark, folder):
                       item("cells", 1).alias("c1"), item("cells", 2).alias("c2"), item("cells", 3).alias("c3"))
 
 
+# Order lines as game pages: parts with even numbers are one team's, odd ones the other's. The pitching table of the first
+# team stands there twice; its batting table comes again in reverse order, which makes it another table.
+_PAGE_LINES = """WITH l AS (SELECT l_orderkey AS g, l_partkey AS part, CAST(l_quantity AS BIGINT) AS q, l_partkey % 2 AS odd,
+    row_number() OVER (PARTITION BY l_orderkey, l_partkey % 2 ORDER BY l_partkey, l_linenumber, l_quantity) AS n,
+    count(*) FILTER (l_partkey % 2 = 0) OVER (PARTITION BY l_orderkey) AS evens, count(*) FILTER (l_partkey % 2 = 1) OVER (PARTITION BY l_orderkey) AS odds
+    FROM lineitem),
+  first AS (SELECT *, odd = 0 OR evens = 0 AS away FROM l),
+  turned AS (SELECT *, FALSE AS away FROM l WHERE odds = 0 AND evens >= 2),
+  games AS (SELECT o_orderkey AS g, CAST(o_orderdate AS DATE) AS game_date, CAST(year(o_orderdate) AS INTEGER) AS season, 'H' || o_custkey % 10 AS h, 'A' || o_custkey % 7 AS a
+    FROM orders WHERE o_orderkey % 11 <> 0)"""
+_PAGE_BASE = """CAST(g AS VARCHAR) AS game_id, game_date, season, CASE WHEN part % 5 <> 0 THEN CAST(part AS VARCHAR) END AS player_id,
+  'p' || part || ' ' || n AS player_name, CASE WHEN away THEN a ELSE h END AS team"""
+
+
+def _page_logs(spark, folder):
+    """Pages written as HTML, then read back as tables and links."""
+    lines = read(spark, folder, "lineitem").groupBy("l_orderkey").agg(
+        F.sort_array(F.collect_list(F.struct("l_partkey", "l_linenumber", "l_quantity"))).alias("l"))
+    cell = lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))
+    number = lambda c: cell(c.cast("string"))
+
+    def who(x, n):
+        name = F.concat(F.lit("p"), x["l_partkey"], F.lit(" "), n)
+        link = F.concat(F.lit('<a href="/player/?PlayerID='), x["l_partkey"], F.lit('&amp;x=1">'), name, F.lit("</a>"))
+        return cell(F.when(x["l_partkey"] % 5 != 0, link).otherwise(name))
+
+    def pitching(x, i):
+        q, n = x["l_quantity"].cast("bigint"), i + 1
+        decision = F.when(n % 4 == 1, "S").when(n % 4 == 2, "h").otherwise("")
+        innings = F.concat((q % 9).cast("string"), F.lit("."), (q % 3).cast("string"))
+        return F.concat(F.lit("<tr>"), cell(decision), number(i), who(x, n), number(q * 100), number(q), cell(innings), number(q % 5), F.lit("</tr>"))
+
+    def batting(x, i):
+        q, n = x["l_quantity"].cast("bigint"), i + 1
+        return F.concat(F.lit("<tr>"), cell(F.when(n < 4, n.cast("string")).otherwise("")), cell(F.lit("CF")), who(x, n), number(q % 6), number(q % 2), number(q % 4), F.lit("</tr>"))
+
+    heads = {"p": ["", "Index", "Pitcher", "NP", "BF", "IP", "K"], "b": ["Order", "Pos", "Batter", "AB", "R", "H"]}
+
+    def table(kind, rows):
+        head = "<table><tr>" + "".join(f"<th>{h}</th>" for h in heads[kind]) + "</tr>"
+        return F.concat(F.lit(head), F.array_join(rows, ""), F.lit("</table>"))
+
+    even, odd = F.filter("l", lambda x: x["l_partkey"] % 2 == 0), F.filter("l", lambda x: x["l_partkey"] % 2 == 1)
+    parts = [table("p", F.transform(even, pitching)), table("p", F.transform(even, pitching)), F.lit("<table><tr><th>Other</th></tr><tr><td>x</td></tr></table>"),
+             table("p", F.transform(odd, pitching)), table("b", F.transform(even, batting)), table("b", F.transform(odd, batting)),
+             table("b", F.reverse(F.transform(even, batting)))]
+    pages = lines.select(F.col("l_orderkey").alias("game_id"), F.concat(*parts).alias("html"))
+    rows = G.page_tables(pages, "game_id").withColumn("cell", F.map_from_arrays("headers", "cells"))
+    links = S.player_links(G.page_links(pages, "game_id"), r"PlayerID=([^&#]+)", page="game_id")
+    games = read(spark, folder, "orders").filter("o_orderkey % 11 <> 0").select(
+        F.col("o_orderkey").alias("game_id"), F.to_date("o_orderdate").alias("game_date"), F.year("o_orderdate").alias("season"),
+        F.concat(F.lit("H"), F.col("o_custkey") % 10).alias("home_team"), F.concat(F.lit("A"), F.col("o_custkey") % 7).alias("away_team"))
+    return S.indexed_page_logs(rows, games, links)
+
+
+@query(f"""{_PAGE_LINES} SELECT {_PAGE_BASE}, CAST(NULL AS VARCHAR) AS opposing_pitcher_hand, CAST(q % 6 AS DOUBLE) AS at_bats, CAST(q % 4 AS DOUBLE) AS hits,
+  CAST(0 AS DOUBLE) AS doubles, CAST(0 AS DOUBLE) AS triples, CAST(0 AS DOUBLE) AS home_runs, CAST(0 AS DOUBLE) AS walks, CAST(0 AS DOUBLE) AS hit_by_pitch,
+  CAST(0 AS DOUBLE) AS sacrifice_flies, CAST(q % 4 AS DOUBLE) AS total_bases, CAST(q % 6 AS DOUBLE) AS plate_appearances
+  FROM (SELECT * FROM first UNION ALL SELECT * FROM turned) LEFT JOIN games USING (g)""")
+def page_batting_logs(spark, folder):
+    return _page_logs(spark, folder)["batting_logs"]
+
+
+@query(f"""{_PAGE_LINES} SELECT {_PAGE_BASE}, CAST(n AS DOUBLE) AS batting_order, 'CF' AS position, 'confirmed_lineup' AS prediction_mode,
+  'game_page' AS lineup_source, CAST(1 AS DOUBLE) AS lineup_confidence
+  FROM (SELECT * FROM first UNION ALL SELECT * FROM turned) LEFT JOIN games USING (g) WHERE n < 4""")
+def page_lineups(spark, folder):
+    return _page_logs(spark, folder)["lineups"]
+
+
+@query(f"""{_PAGE_LINES} SELECT {_PAGE_BASE}, CAST(q * 100 AS DOUBLE) AS pitches, CAST(q AS DOUBLE) AS batters_faced, q % 9 + (q % 3) / CAST(3 AS DOUBLE) AS innings_pitched,
+  CAST(q % 5 AS DOUBLE) AS strikeouts, CAST(n = 1 AS DOUBLE) AS is_start, CASE WHEN n = 1 THEN 'SP' ELSE 'RP' END AS role,
+  CAST(n % 4 = 1 AS DOUBLE) AS is_closer, CAST(n % 4 IN (1, 2) AS DOUBLE) AS is_high_leverage FROM first LEFT JOIN games USING (g)""")
+def page_pitcher_logs(spark, folder):
+    out = _page_logs(spark, folder)["pitcher_logs"]
+    # The pages made here have no such columns.
+    return out.drop("hits", "home_runs", "walks", "hit_by_pitch", "runs", "earned_runs")
+
+
 # -- nested documents ----------------------------------------------------------------------
 
 
