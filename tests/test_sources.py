@@ -1,9 +1,10 @@
 import json
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregame import schemas
-from pregame.sources import tables
+from pregame.sources import pages, tables
 from pregame.streaming import landed
 
 SCHEMA = T.StructType([T.StructField("game_id", T.StringType()), T.StructField("captured_at", T.StringType()), T.StructField("x", T.LongType())])
@@ -48,3 +49,14 @@ def test_landed_files_are_taken_once(spark, tmp_path):
     assert spark.read.parquet(args[1]).count() == 3
     assert {r.game_id: r.x for r in landed.latest_snapshots(spark, args[1], ["game_id"]).collect()} == {"g": 2, "h": 3}
     assert landed.manifest(spark, args[1]).count() == 3
+
+
+def test_pages_are_searched_once(spark):
+    html = "<table><tr><th>A</th><th></th></tr><tr><td>1</td><td>&amp;</td></tr><tr><td>2</td></tr></table><table><tr><td>x</td></tr></table><a href='u'>t</a><a>n</a>"
+    df = spark.createDataFrame([("p", html), ("q", None), ("r", "none")], "page_id string, html string")
+    assert [tuple(r) for r in pages.page_tables(df).collect()] == [("p", 1, 2, ["A", "column_2"], ["1", "&"])]
+    assert [tuple(r) for r in pages.page_links(df).collect()] == [("p", 1, "t", "u")]
+    made = df.withColumn("html", F.concat("html", F.lit("<b>")))
+    for out in (pages.page_tables(made), pages.page_links(made)):
+        filters = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
+        assert filters and not any("regexp_" in line for line in filters)
