@@ -11,7 +11,7 @@ Beyond them, high-recall generators propose overlapping spans of each kind: addr
 signs, digit groups with any separators, dotted or spaced quads. Each candidate is described by its
 format (digits, groups, separators, neighbours) and its context (words before it); an address with
 spelled-out dots or bracketed signs is described as it reads with the signs put back. Boosted trees learn
-from a bounded sample of candidates which of them are personal data, and what the base rules test (Luhn,
+from all candidates which of them are personal data, and what the base rules test (Luhn,
 the plus sign, the value of a quad's parts) is not among the features. A candidate over a base span of its
 kind is positive, one over a base span of another kind only is negative, and one that fails Luhn or has a
 part above 255 is settled: it is neither learned from nor added. All others have no label, and being found
@@ -19,7 +19,7 @@ by no base rule does not make them negative. Which of them are is found in two s
 
 1. trees learn base spans against all others; unlabelled candidates that score below nearly all base
    spans of their kind which these trees have not seen (all but `spies` of them) are taken as negative;
-2. trees learn base spans against negatives only. On the part of the sample that they have not seen,
+2. trees learn base spans against negatives only. On the part of the candidates that they have not seen,
    Platt's curve calibrates their margin, and each kind gets the lowest threshold at which `precision`
    holds for what it adds: of the candidates above it that are not positive, so many are not negative.
    With no negatives on either part, the first trees and their limits decide.
@@ -29,13 +29,15 @@ spans of its kind looks negative to step 1 and is not added.
 
 Positions count code points; they come from the lengths of matches and of the text between them. Regular
 expressions are possessive and start only where a run starts, so that they take linear time and constant
-stack on any text. Samples are drawn by doc_id and text. Cases: a NULL text is empty; NULL and repeated doc_ids and equal rows each
+stack on any text. Parts are dealt by doc_id, text and place. Cases: a NULL text is empty; NULL and repeated doc_ids and equal rows each
 keep their row; without base spans, or without other candidates, nothing is added; an empty table gives an empty result; other
 columns are ignored.
 """
 
 from __future__ import annotations
 
+from math import isqrt
+
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -76,6 +78,8 @@ WRITTEN, AT, DOT = r"[\[(](?:at|dot)[\])]|\x20dot\x20", r"\x20?[\[(]at[\])]\x20?
 REACH = 24  # characters of context before a candidate
 NEAR = 5  # matches that hold REACH characters together: each has five or more
 FOLDED = 128  # values that one fold gathers
+PART_ROWS = 20_000  # candidates of a partition that trees learn from
+STEPS = 1024  # of probabilities, for thresholds
 CUT = 1024  # code points of a piece of text that is cut by position
 FEATURES = ["length", "digits", "letters", "blanks", "hyphens", "dots", "others", "groups", "longest", "even_groups", "distinct",
             "joined_before", "joined_after", "line_start", *CONTEXT]
@@ -236,57 +240,76 @@ def candidates_of(spans: DataFrame) -> DataFrame:
 INPUTS = [*FEATURES, *[f"is_{k}" for k in KINDS]]
 
 
-def _learn(sample: DataFrame, rounds: int, depth: int, seed: int):
-    """(trees, calibration) from the rows of `sample` with a label: `part` 0 and 1 train, 2 calibrates. None where either lacks a label."""
-    sample = sample.filter("label IS NOT NULL")
-    counts = {(r.train, r.label) for r in sample.select((F.col("part") < 2).alias("train"), "label").distinct().collect()}
+def _bins(rows: int) -> int:
+    """The least `maxBins` with which Spark's trees look for split values in all `rows`: from 10,000 rows on they sample
+    the square of it. Each feature keeps only the bins that its values need."""
+    return 32 if rows <= 10_000 else min(isqrt(rows - 1) + 1, 46_340)
+
+
+def _learn(rows: DataFrame, rounds: int, depth: int, seed: int):
+    """(trees, calibration) from the rows with a label: `part` 0 and 1 train, 2 calibrates. None where either lacks a label."""
+    rows = rows.filter("label IS NOT NULL")
+    counts = {(r.train, r.label): r["count"] for r in rows.groupBy((F.col("part") < 2).alias("train"), "label").count().collect()}
     if len(counts) < 4:
         return None
     trees = GBTClassifier(featuresCol="features", labelCol="label", maxIter=rounds, maxDepth=depth, stepSize=0.2, seed=seed,
-                          minInstancesPerNode=5).fit(sample.filter("part < 2"))
-    rest = _margins(trees, sample.filter("part = 2"))
+                          minInstancesPerNode=5, maxBins=_bins(counts[True, 0.0] + counts[True, 1.0])).fit(rows.filter("part < 2"))
+    rest = _margins(trees, rows.filter("part = 2"))
     return trees, LogisticRegression(featuresCol="margin", labelCol="label", regParam=0.001).fit(_margin_vector(rest))
 
 
-def fit(candidates: DataFrame, sample: int = 20_000, precision: float = 0.98, rounds: int = 12, depth: int = 3, seed: int = 11,
+def fit(candidates: DataFrame, precision: float = 0.98, rounds: int = 12, depth: int = 3, seed: int = 11,
         spies: float = 0.02):
-    """(trees, calibration, thresholds by kind), or None where the sample has no base spans or no other candidates.
+    """(trees, calibration, thresholds by kind), or None where there are no base spans or no other candidates.
 
-    About `sample` candidates are drawn by hash; two thirds train the trees, the rest calibrates them.
+    All candidates count: by hash, two thirds train the trees, the rest calibrates them and sets the thresholds.
     """
     candidates = candidates.filter((F.col("label") == 1) | ~F.col("settled"))
     total = candidates.count()
     if not total:
         return None
     spread = F.xxhash64(F.lit(seed), "mark", "kind", "s", "e")
-    scale = 1 << 30
-    drawn = candidates.filter(F.pmod(spread, F.lit(scale)) < int(scale * min(1.0, sample / total)))
-    # The sample is small: a few partitions keep the trees' many short jobs short.
-    drawn = settle(_vectors(drawn.withColumn("part", F.pmod(F.shiftright(spread, 32), F.lit(3)))).coalesce(4))
-    first = _learn(drawn, rounds, depth, seed)
+    # Few rows a partition would only make the trees' many jobs longer.
+    parts = max(4, total // PART_ROWS)
+    dealt = settle(_vectors(candidates.withColumn("part", F.pmod(F.shiftright(spread, 32), F.lit(3)))).coalesce(parts))
+    first = _learn(dealt, rounds, depth, seed)
     if first is None:
         return None
 
-    scored = _margins(first[0], drawn).withColumn("q", _calibrated(first[1], "margin")).drop("margin")
+    scored = _margins(first[0], dealt).withColumn("q", _calibrated(first[1], "margin")).drop("margin")
     limits = {r.kind: r.q for r in scored.filter("label = 1 AND part = 2").groupBy("kind").agg(
         F.expr(f"percentile(q, {spies})").alias("q"), F.count(F.lit(1)).alias("n")).filter("n >= 5").collect()}
     if not limits:
         return None
     # Kinds without a limit keep all their unlabelled candidates out, as nothing tells which are negative.
     sure = (F.col("label") == 0) & (F.col("touched") | (F.col("q") < _by_kind(limits, -1.0)))
-    drawn = settle(scored.withColumn("label", F.when(F.col("label") == 1, 1.0).when(sure, 0.0)).drop("q"))
-    second = _learn(drawn, rounds, depth, seed)
+    dealt = settle(scored.withColumn("label", F.when(F.col("label") == 1, 1.0).when(sure, 0.0)).drop("q"))
+    second = _learn(dealt, rounds, depth, seed)
     if second is None:
         return *first, limits
 
-    scored = _margins(second[0], drawn.filter("part = 2")).select("kind", "label", _calibrated(second[1], "margin").alias("p"))
-    # The sample is bounded, so these windows are.
-    above = Window.partitionBy("kind").orderBy(F.col("p").desc()).rangeBetween(Window.unboundedPreceding, 0)
-    wrong = F.sum((F.coalesce("label", F.lit(-1.0)) == 0).cast("int")).over(above)
-    other = F.sum((F.coalesce("label", F.lit(-1.0)) != 1).cast("int")).over(above)
-    good = scored.withColumn("n", F.count("*").over(above)).withColumn("wrong", wrong).withColumn("other", other)
-    rows = good.filter((F.col("wrong") <= (1 - precision) * F.col("other")) & (F.col("n") >= 5)).groupBy("kind").agg(F.min("p").alias("p")).collect()
-    return *second, {r.kind: max(r.p, 0.5) for r in rows if r.kind in limits}
+    scored = _margins(second[0], dealt.filter("part = 2")).select("kind", "label", _calibrated(second[1], "margin").alias("p"))
+    found = _thresholds(scored, precision)
+    return *second, {k: max(p, 0.5) for k, p in found.items() if k in limits}
+
+
+def _thresholds(scored: DataFrame, precision: float) -> dict[str, float]:
+    """For each kind the lowest `p` from which on, of what is not positive, `precision` is not negative; five rows at least.
+
+    Sums run over the distinct `p` of a step and over the steps, so that no task holds a kind's rows.
+    """
+    label = F.coalesce("label", F.lit(-1.0))
+    each = scored.groupBy("kind", "p").agg(
+        F.count(F.lit(1)).alias("n"), F.sum((label == 0).cast("long")).alias("wrong"), F.sum((label != 1).cast("long")).alias("other"))
+    each = settle(each.withColumn("step", F.floor(F.col("p") * STEPS)))
+    sums = ["n", "wrong", "other"]
+    higher = Window.partitionBy("kind").orderBy(F.desc("step")).rowsBetween(Window.unboundedPreceding, -1)
+    steps = each.groupBy("kind", "step").agg(*[F.sum(c).alias(c) for c in sums]).select(
+        "kind", "step", *[F.coalesce(F.sum(c).over(higher), F.lit(0)).alias(f"{c}_higher") for c in sums])
+    above = Window.partitionBy("kind", "step").orderBy(F.desc("p"))
+    good = each.join(steps, ["kind", "step"]).select("kind", "p", *[(F.sum(c).over(above) + F.col(f"{c}_higher")).alias(c) for c in sums])
+    rows = good.filter((F.col("wrong") <= (1 - precision) * F.col("other")) & (F.col("n") >= 5)).groupBy("kind").agg(F.min("p").alias("p"))
+    return {r.kind: r.p for r in rows.collect()}
 
 
 def _by_kind(values: dict[str, float], otherwise: float) -> Column:

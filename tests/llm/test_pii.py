@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 import time
 
@@ -171,3 +172,38 @@ def test_redaction_across_cuts(spark):
     df = spark.createDataFrame([(text, spans), (None, spans), ("", [])], "t string, s array<struct<s:int,e:int>>")
     got = [r[0] for r in df.select(pii.redact(F.col("t"), F.col("s"), "#")).collect()]
     assert got == ["##" + text[1:1020] + "#" + text[3000:4096] + "#" + text[4097:7999] + "#", None, ""]
+
+
+def some_candidates(spark, n):
+    """Candidates as `candidates_of` gives them, every third one positive."""
+    return spark.range(n).select(
+        F.lit("phone").alias("kind"), F.col("id").alias("mark"), F.lit(0).alias("s"), F.lit(9).alias("e"), F.lit(False).alias("settled"),
+        (F.col("id") % 3 == 0).alias("touched"), (F.col("id") % 3 == 0).cast("double").alias("label"),
+        *[((F.col("id") % 3 + k) % 5).cast("float").alias(c) for k, c in enumerate(pii.INPUTS)])
+
+
+def test_trees_and_thresholds_come_from_all_candidates(spark, monkeypatch):
+    seen, learn, thresholds = [], pii._learn, pii._thresholds
+    monkeypatch.setattr(pii, "_learn", lambda rows, *a: seen.append(rows.count()) or learn(rows, *a))
+    monkeypatch.setattr(pii, "_thresholds", lambda rows, *a: seen.append(rows.count()) or thresholds(rows, *a))
+    candidates = some_candidates(spark, 30_000)
+    assert pii.fit(candidates, rounds=1, depth=1) is not None
+    parts = candidates.filter(F.pmod(F.shiftright(F.xxhash64(F.lit(11), "mark", "kind", "s", "e"), 32), F.lit(3)) == 2).count()
+    assert seen[0] == 30_000 and seen[1] == 30_000 and seen[2:] == [parts]
+    assert all(pii._bins(n) ** 2 >= n for n in (10_001, 22_500, 22_501, 10**9)) and pii._bins(10_000) == 32
+
+
+def test_thresholds_are_those_of_one_sorted_run(spark):
+    rng = random.Random(5)
+    rows = [(k, rng.choice([1.0, 1.0, None, None, 0.0]), round(rng.random(), 2 + i % 3)) for k in pii.KINDS[:3] for i in range(400)]
+    rows += [("phone", None, 0.5)] * 4 + [("ip", None, 0.0), ("ip", 1.0, 1.0)]
+    for precision in (0.5, 0.8):
+        want = {}
+        for kind in pii.KINDS:
+            of = [(p, label) for k, label, p in rows if k == kind]
+            for least in sorted({p for p, _ in of}):
+                labels = [label for p, label in of if p >= least]
+                if len(labels) >= 5 and labels.count(0.0) <= (1 - precision) * sum(x != 1.0 for x in labels):
+                    want[kind] = least
+                    break
+        assert pii._thresholds(spark.createDataFrame(rows, "kind string, label double, p double"), precision) == want
