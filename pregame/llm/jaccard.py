@@ -14,7 +14,8 @@ one; without words, empty. Two documents link when `100 * |intersection| >= perc
    every class is paired with three leaders per min-hash (stars, so as many pairs as rows), these pairs are
    verified, and what links is one group. One leader is the set with the commonest n-grams: an original has
    the n-grams that its edited copies share, while two copies differ by the edits of both. In the tiles, pairs within a group are left out: they cannot
-   change a component. No other pair is.
+   change a component. No other pair is. Where links are counted, the members of a group are dealt into blocks, and
+   every two blocks meet in a task that intersects all their pairs and gives one number per member.
 4. A pair's overlap is bounded from above by its bitmaps: each bit set in one only is an n-gram that the
    other lacks. What may still link is verified on the sorted arrays of n-gram hashes of the texts.
 
@@ -44,7 +45,9 @@ SKETCH_BITS = 18
 SEEDS = [np.uint64(0x9E3779B97F4A7C15 * k & (2**64 - 1)) for k in range(3, 9)]
 BAND = 4.0  # a band's largest size over its smallest
 TILE = 256  # rows of a tile whose pairs are made at once
-BLOCK = 512  # members verified against one copy of their leader's text
+BLOCK = 512  # members verified against one copy of their leader's text, or against each other
+BLOCK_GRAMS = 1_000_000  # n-grams of a block of members that are verified against each other
+COLUMNS = 4096  # n-grams that are laid out for all members of two blocks at once
 
 
 @dataclass
@@ -199,6 +202,54 @@ def _verify(n: int, percent: int):
     return run
 
 
+def _linked(sets: list[np.ndarray], block: np.ndarray, percent: int) -> np.ndarray:
+    """How many others each set links with; with two blocks, only those of the other block."""
+    size = np.array([len(x) for x in sets], np.int64)
+    member = np.repeat(np.arange(len(sets)), size)
+    _, gram, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times > 1  # what one set has alone is in no intersection
+    gram, member = (np.cumsum(shared) - 1)[gram[shared[gram]]], member[shared[gram]]
+    order = np.argsort(gram, kind="stable")
+    gram, member = gram[order], member[order]
+    both = np.zeros((len(sets), len(sets)))
+    for start in range(0, int(shared.sum()), COLUMNS):
+        own = slice(*np.searchsorted(gram, [start, start + COLUMNS]))
+        has = np.zeros((len(sets), COLUMNS), np.float32)
+        has[member[own], gram[own] - start] = 1
+        both += has @ has.T
+    link = 100 * both >= percent * (size[:, None] + size[None, :] - both)
+    np.fill_diagonal(link, False)
+    if block[0] != block[-1]:
+        link &= block[:, None] != block[None, :]
+    return link.sum(axis=1)
+
+
+def _count_links(n: int, percent: int):
+    """Rows come sorted by (grp, low, high, block, cid), where blocks `low` and `high` of a group meet."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held = None, []
+
+        def out() -> pa.RecordBatch:
+            cid, block, sets = zip(*held)
+            counts = _linked(list(sets), np.array(block), percent)
+            return pa.RecordBatch.from_arrays([pa.array(cid, pa.int64()), pa.array(counts, pa.int64())], names=["node", "c"])
+
+        for b in pieces(batches):
+            s = sets_of(b.column("text"), n)
+            for i, (*key, block, cid) in enumerate(zip(*(b.column(c).to_pylist() for c in ("grp", "low", "high", "block", "cid")))):
+                if key != met:
+                    if held:
+                        yield out()
+                    met, held = key, []
+                if not held or held[-1][0] != cid:  # equal rows of the table come one after the other
+                    held.append((cid, block, s.hashes[s.bounds[i]:s.bounds[i + 1]].copy()))
+        if held:
+            yield out()
+
+    return run
+
+
 def _tile_pairs(percent: int):
     """Pairs of a tile from a run sorted by (tile, size): sizes must fit, enough must be left of both sets from
     their shared n-gram on, groups must differ."""
@@ -289,10 +340,25 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percen
         _verify(n, percent), "a long, b long").distinct()
 
 
+def _group_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """node, c: the number of links of each class within its group, from all pairs of the group."""
+    members = settle(groups.select(F.col("component").alias("grp"), F.col("node").alias("cid")).join(
+        classes.select("cid", "n", F.col("t1").alias("key"), "first_id").hint("merge"), "cid"))
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK, F.sum("n") / BLOCK_GRAMS)).cast("int")
+    sizes = settle(members.groupBy("grp").agg(blocks.alias("blocks")))
+    rows = members.join(sizes.hint("merge"), "grp").withColumn("block", F.pmod(F.xxhash64(F.lit(4), "cid"), "blocks").cast("int"))
+    texts = docs.join(rows.hint("merge"), (F.col("t1") == F.col("key")) & F.col("doc_id").eqNullSafe(F.col("first_id")))
+    met = texts.select("grp", "block", "cid", "text", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "grp", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "text")
+    key = ["grp", "low", "high"]
+    dealt = met.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), *key)
+    return dealt.sortWithinPartitions(*key, "block", "cid").mapInArrow(_count_links(n, percent), "node long, c long")
+
+
 def similar_sets(docs: DataFrame, n: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and n_links, the number of other classes that the document's class was
-    found to link with (a lower bound within groups of near copies)."""
-    return grouped(docs, n, percent).select("doc_id", "n_shingles", "component_id", "n_links")
+    """doc_id, n_shingles, component_id and n_links, the number of other classes that the document's class
+    links with."""
+    return grouped(docs, n, percent, counted=True).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
@@ -310,8 +376,8 @@ def representatives(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame
     return kept.dropDuplicates(["_t1", "doc_id"]).unionByName(d.filter(~worded)).drop("_t1")
 
 
-def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """Like `similar_sets`, with `group` (NULL for an empty set) and `t1`, a hash of the text."""
+def grouped(docs: DataFrame, n: int, percent: int, counted: bool = False) -> DataFrame:
+    """Like `similar_sets`, with `group` (NULL for an empty set) and `t1`, a hash of the text; `n_links` only if `counted`."""
     d = tidy(docs, {"doc_id": "bigint", "text": "string"}).withColumn("t1", F.xxhash64(F.lit(11), F.coalesce("text", F.lit(""))))
     seen = settle(d.mapInArrow(
         _sketch_rows(n), "doc_id long, n int, s1 long, s2 long, t1 long, bucket int, hits long"))
@@ -366,20 +432,22 @@ def grouped(docs: DataFrame, n: int, percent: int) -> DataFrame:
 
     links = settle(near.unionByName(more))
     names = components(links)
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("n_links"))
     member = (
         classes.select("s1", "s2", "first_id", "cid").join(names.hint("merge"), F.col("cid") == F.col("node"), "left").drop("node")
         .withColumn("component", F.coalesce("component", "cid"))
     )
     smallest = settle(member.groupBy("component").agg(F.min("first_id").alias("component_id")))
-    member = (
-        member.join(smallest.hint("merge"), "component")
-        .join(degree.hint("merge"), F.col("cid") == F.col("node"), "left")
-        .select(F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("component").alias("group"), "component_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    )
+    member = member.join(smallest.hint("merge"), "component").select(
+        F.col("s1").alias("x1"), F.col("s2").alias("x2"), F.col("component").alias("group"), "component_id", "cid")
+    if counted:
+        # `more` has the links between groups, each once.
+        ends = more.select(F.explode(F.array("a", "b")).alias("node"), F.lit(1).cast("long").alias("c"))
+        degree = ends.unionByName(_group_links(groups, classes, d, n, percent)).groupBy("node").agg(F.sum("c").alias("n_links"))
+        member = member.join(degree.hint("merge"), F.col("cid") == F.col("node"), "left")
+    count = [F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")] if counted else []
     return (
         rows.join(member.hint("merge"), (F.col("s1") == F.col("x1")) & (F.col("s2") == F.col("x2")), "left")
         .select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                 F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-                F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "group", "t1")
+                *count, "group", "t1")
     )

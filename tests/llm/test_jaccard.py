@@ -43,6 +43,36 @@ def test_components_are_those_of_all_pairs(spark, monkeypatch, n, percent, tile)
     assert sort_rows(got.collect()) == brute(hard_rows(), n, percent)
 
 
+def shingles(text, n):
+    w = WORD.findall((text or "").translate(LOWER))
+    return frozenset(tuple(w[j:j + n]) for j in range(len(w) - n + 1)) if len(w) >= n else frozenset([tuple(w)] if w else [])
+
+
+def near_copies():
+    """A group of copies with an edit each, at many distances from each other, one near copy of it, and odd rows."""
+    rng = random.Random(9)
+    words = [f"w{k}" for k in range(60)]
+    texts = [" ".join(words)] * 3
+    for k in range(40):
+        edited = list(words)
+        for at in rng.sample(range(60), rng.randrange(1, 3)):
+            edited[at] = f"x{k % 13}"
+        texts.append(" ".join(edited))
+    return [(i // 2 if i < 4 else i, t) for i, t in enumerate([*texts, None, "", "a b", "A b", "other " * 9, texts[5]])]
+
+
+@pytest.mark.parametrize("n,percent,block", [(4, 85, 512), (4, 85, 5), (2, 60, 7)])
+def test_links_are_those_of_all_pairs(spark, monkeypatch, n, percent, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "COLUMNS", 50)
+    for rows in (near_copies(), [(r[0], r[1]) for r in hard_rows()]):
+        sets = {shingles(t, n) for _, t in rows} - {frozenset()}
+        links = {a: sum(a != b and 100 * len(a & b) >= percent * len(a | b) for b in sets) for a in sets}
+        want = sort_rows((i, links.get(shingles(t, n), 0)) for i, t in rows)
+        got = jaccard.similar_sets(spark.createDataFrame(rows, "doc_id long, text string"), n, percent).select("doc_id", "n_links").collect()
+        assert sort_rows(got) == want
+
+
 def test_no_documents(spark):
     assert jaccard.similar_sets(no_documents(spark)).collect() == []
 
