@@ -292,7 +292,7 @@ def boxscore_lineups(spark, folder):
 
 @query(f"""WITH {T.GAMES_SQL}, {T.LINEUPS_SQL} SELECT game_id, team, player_id, batting_order, 'n' || player_id AS player_name, 0.65 AS lineup_confidence FROM lineups""")
 def provider_lineup_documents(spark, folder):
-    rows = T.lineups(spark, folder).withColumn("player_name", F.concat(F.lit("n"), "player_id"))
+    rows = T.lineups.once(spark, folder, T.games.once).withColumn("player_name", F.concat(F.lit("n"), "player_id"))
     out = Y.provider_lineups(Y.lineup_documents(rows), "provider")
     return out.select("game_id", "team", "player_id", "batting_order", "player_name", "lineup_confidence")
 

@@ -91,36 +91,67 @@ def hourly_weather_rows(payloads: DataFrame, keys: list[str], json: str = "json"
     )
 
 
-def _field(doc: Column, *paths: str) -> Column:
-    """First scalar among JSON paths; an object or a blank does not count."""
-    values = [F.get_json_object(doc, f"$.{p}") for p in paths]
-    return first_present(*[F.when(~F.coalesce(v, F.lit("")).rlike(r"^\s*[\[{]"), v) for v in values])
+OBJECT, LIST = r"^\s*\{", r"^\s*\["
+FIELDS = "MAP<STRING, STRING>"
+
+
+def _fields(text: Column) -> Column:
+    """The fields of a JSON object, nested ones as their JSON text; NULL for any other text."""
+    return F.when(text.rlike(OBJECT), F.from_json(text, FIELDS))
+
+
+def _opened(texts: Column, paths: list[str]) -> Column:
+    """Array of JSON texts to structs of fields: those of the object (`_`) and of each object that the paths lead through.
+
+    To be exploded, with the values picked in there: a filter on one then stays above, and no text is parsed again for it.
+    """
+    inner = {p.rsplit(".", 1)[0] for p in paths if "." in p}
+    inner |= {p.split(".", 1)[0] for p in inner}
+    out, done = F.transform(texts, lambda t: F.struct(_fields(t).alias("_"))), ["_"]
+    for depth in sorted({p.count(".") for p in inner}):
+        new = sorted(p for p in inner if p.count(".") == depth)
+        out = F.transform(out, lambda o: F.struct(
+            *[o[n].alias(n) for n in done], *[_fields(_at(o, p)).alias(p.replace(".", "_")) for p in new]))
+        done += [p.replace(".", "_") for p in new]
+    return out
+
+
+def _at(opened: Column, path: str) -> Column:
+    above, _, last = path.rpartition(".")
+    return opened[above.replace(".", "_") or "_"][last]
+
+
+def _first(opened: Column, paths: list[str]) -> Column:
+    """First scalar among the paths; an object or a blank does not count. Each path is looked up once."""
+    values = F.array(*[_at(opened, p) for p in paths])
+    return F.get(F.filter(values, lambda v: ~v.rlike(r"^\s*[\[{]") & (F.trim(v) != "")), F.lit(0))
 
 
 def provider_lineups(
     payloads: DataFrame, source: str, mode: str = "projected", captured_at: str | None = None, game_ids: DataFrame | None = None,
     player_ids: DataFrame | None = None, json: str = "json", confidence: float = 0.65,
 ) -> DataFrame:
-    """Provider lineup documents to standard lineup rows; ids are translated where a map has them."""
-    entries = payloads.select(F.explode(F.from_json(json, PROVIDER)["data"]).alias("e"))
-    e = F.col("e")
-    lists = [F.get_json_object(e, f"$.{p}") for p in PLAYER_LISTS]
-    lists += [F.get_json_object(e, f"$.{n}.{p}") for n in NESTED_IN for p in PLAYER_LISTS]
-    found = F.coalesce(*[F.when(v.rlike(r"^\s*\["), v) for v in lists])
-    sides = {f"{s}_team": _field(e, *[p.format(s=s) for p in SIDE_NAMES + GAME_SIDES]) for s in ("home", "away")}
-    rows = entries.select(
-        _field(e, *GAME_IDS).alias("external_game_id"), _field(e, *GAME_DATES).alias("game_date"),
-        *[c.alias(n) for n, c in sides.items()], _field(e, *TEAM_NAMES).alias("team"), _field(e, *STATUS).alias("provider_lineup_status"),
-        _field(e, "captured_at", "updated_at").alias("seen_at"), F.explode(F.from_json(found, "ARRAY<STRING>")).alias("p"),
-    )
-    p = F.col("p")
-    nested = F.get_json_object(p, "$.player")
-    person = F.when(nested.rlike(r"^\s*\{"), nested).otherwise(p)
-    rows = rows.select(
-        "external_game_id", "game_date", "home_team", "away_team", "team", "provider_lineup_status", "seen_at",
-        _field(person, *PLAYER_IDS).alias("external_player_id"), _field(person, *PLAYER_NAMES).alias("player_name"),
-        number(_field(p, *SLOTS)).alias("batting_order"), _field(p, *POSITIONS).alias("position"), _field(person, *BATS).alias("bats"),
-    )
+    """Provider lineup documents to standard lineup rows; ids are translated where a map has them.
+
+    Every object is parsed once, level by level, however many names its fields may have.
+    """
+    lists = PLAYER_LISTS + [f"{n}.{p}" for n in NESTED_IN for p in PLAYER_LISTS]
+    sides = {f"{s}_team": [p.format(s=s) for p in SIDE_NAMES + GAME_SIDES] for s in ("home", "away")}
+    seen = ["captured_at", "updated_at"]
+    read = [*lists, *GAME_IDS, *GAME_DATES, *sides["home_team"], *sides["away_team"], *TEAM_NAMES, *STATUS, *seen]
+    entries = F.transform(_opened(F.from_json(json, PROVIDER)["data"], read), lambda e: F.struct(
+        _first(e, GAME_IDS).alias("external_game_id"), _first(e, GAME_DATES).alias("game_date"),
+        *[_first(e, paths).alias(n) for n, paths in sides.items()], _first(e, TEAM_NAMES).alias("team"),
+        _first(e, STATUS).alias("provider_lineup_status"), _first(e, seen).alias("seen_at"),
+        F.get(F.filter(F.array(*[_at(e, p) for p in lists]), lambda v: v.rlike(LIST)), F.lit(0)).alias("players")))
+    entries = payloads.select(F.explode(entries).alias("e"))
+    people = F.transform(_opened(F.from_json("e.players", "ARRAY<STRING>"), SLOTS + POSITIONS), lambda p: F.struct(
+        p.alias("own"), F.struct(F.coalesce(_fields(_at(p, "player")), p["_"]).alias("_")).alias("person")))
+    people = F.transform(people, lambda p: F.struct(
+        _first(p["person"], PLAYER_IDS).alias("external_player_id"), _first(p["person"], PLAYER_NAMES).alias("player_name"),
+        number(_first(p["own"], SLOTS)).alias("batting_order"), _first(p["own"], POSITIONS).alias("position"),
+        _first(p["person"], BATS).alias("bats")))
+    rows = entries.select("e.*", F.explode(people).alias("p")).select("*", "p.*").drop("players", "p")
     for map_, key, own in ((game_ids, "external_game_id", "game_id"), (player_ids, "external_player_id", "player_id")):
         if map_ is None:
             rows = rows.withColumn(own, F.col(key))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pregame import schemas
-from pregame.sources import pages, tables
+from pregame.sources import pages, payloads, tables
 from pregame.streaming import landed
 
 SCHEMA = T.StructType([T.StructField("game_id", T.StringType()), T.StructField("captured_at", T.StringType()), T.StructField("x", T.LongType())])
@@ -60,3 +60,12 @@ def test_pages_are_searched_once(spark):
     for out in (pages.page_tables(made), pages.page_links(made)):
         filters = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Filter" in line]
         assert filters and not any("regexp_" in line for line in filters)
+
+
+def test_provider_documents_are_parsed_once(spark):
+    # A filter on the values must not bring their parsing along, once per mention.
+    docs = spark.createDataFrame([('{"data": [{"game": {"id": "g"}, "team": "T", "players": [{"order": 1, "player": {"id": "p"}}, {"order": 2, "id": " "}]}, "text"]}',)], "json string")
+    out = payloads.provider_lineups(docs, "provider")
+    assert [(r.game_id, r.team, r.player_id, r.batting_order) for r in out.collect()] == [("g", "T", "p", 1.0)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") <= 25 and "get_json_object" not in plan
