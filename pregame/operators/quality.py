@@ -5,9 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pyarrow as pa
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -299,20 +297,48 @@ def diagnostics(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return flat.join(distinct, "column", "left").select("column", "non_null_rate", F.coalesce("n_distinct", F.lit(0)).alias("n_distinct"))
 
 
+def mean_ranks(counts: DataFrame, columns: Sequence[str], n: str) -> DataFrame:
+    """(_c, value, rank): the mean rank of each distinct value of each column, by its place in `columns`; rows count `n` times.
+
+    The distinct values are dealt to ranges, a range is ranked by itself, and ranges are put behind one another
+    by their totals, so no task holds a column. NaN is the greatest value and equal to itself.
+    """
+    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("_c"), F.col(c).alias("value")) for i, c in enumerate(columns)]))
+    values = counts.select(F.col(n).alias("_n"), cells.alias("_v")).groupBy("_v._c", "_v.value").agg(F.sum("_n").alias("_n"))
+    ranges = settle(values.repartitionByRange("_c", "value").withColumn("_part", F.spark_partition_id()))
+    totals = ranges.groupBy("_c", "_part").agg(F.sum("_n").alias("_all"))
+    earlier = Window.partitionBy("_c").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_c", "_part", F.coalesce(F.sum("_all").over(earlier), F.lit(0)).alias("_before"))
+    up_to = F.sum("_n").over(Window.partitionBy("_c", "_part").orderBy("value"))
+    ranked = ranges.withColumn("_up_to", up_to).join(totals, ["_c", "_part"])
+    return ranked.select("_c", "value", (F.col("_before") + F.col("_up_to") - (F.col("_n") - 1) / 2.0).alias("rank"))
+
+
 def rank_correlations(df: DataFrame, columns: Sequence[str], floor: float = 0.95) -> DataFrame:
     """Column pairs whose Spearman correlation is at least `floor` in size, NULL read as the median.
 
-    Ranking and products run distributed in Spark ML; the driver sees one columns x columns matrix.
+    Equal rows are counted where they are read; distinct ones are ranked and multiplied, with their counts. The
+    driver sees one number per pair.
     """
-    medians = {r["column"]: r["median"] for r in exact_medians(df, columns).collect()}
-    usable = [c for c in columns if c in medians]
-    full = df.select(*[F.coalesce(F.col(c).cast("double"), F.lit(medians[c])).alias(c) for c in usable])
-    vectors = VectorAssembler(inputCols=usable, outputCol="v").transform(full).select("v")
-    matrix = Correlation.corr(vectors, "v", "spearman").first()[0].toArray()
-    pairs = [
-        (usable[i], usable[j], float(matrix[i][j]))
-        for i in range(len(usable))
-        for j in range(i + 1, len(usable))
-        if abs(matrix[i][j]) >= floor
-    ]
-    return df.sparkSession.createDataFrame(pairs, "left_column string, right_column string, correlation double")
+    names = [f"_v{i}" for i in range(len(columns))]
+    held = settle(df.select(*[F.col(c).cast("double").alias(n) for n, c in zip(names, columns)]))
+    rows = settle(held.groupBy(*names).agg(F.count(F.lit(1)).alias("_n")))
+    medians = {name: (low + high) / 2 for (_, name), (low, high) in middles(held, names).items()}
+    kept = [i for i, n in enumerate(names) if n in medians]
+    pairs = [(i, j) for i in kept for j in kept if i < j]
+    found = []
+    if pairs:
+        placed = rows.select("_n", *[F.coalesce(names[i], F.lit(medians[names[i]])).alias(names[i]) for i in kept])
+        ranks = settle(mean_ranks(placed, [names[i] for i in kept], "_n"))
+        for k, i in enumerate(kept):
+            own = ranks.filter(F.col("_c") == k).select(F.col("value").alias(names[i]), F.col("rank").alias(f"_r{i}"))
+            placed = placed.join(own, names[i])
+        middle = (rows.agg(F.sum("_n")).first()[0] + 1) / 2
+        off = lambda i: F.col(f"_r{i}") - F.lit(middle)
+        product = lambda i, j: F.sum(F.col("_n") * off(i) * off(j))
+        sums = placed.agg(*[product(i, j).alias(f"_{i}_{j}") for i, j in [*pairs, *[(i, i) for i in kept]]]).first()
+        for i, j in pairs:
+            size = (sums[f"_{i}_{i}"] * sums[f"_{j}_{j}"]) ** 0.5
+            if size and abs(sums[f"_{i}_{j}"] / size) >= floor:
+                found.append((columns[i], columns[j], sums[f"_{i}_{j}"] / size))
+    return df.sparkSession.createDataFrame(found, "left_column string, right_column string, correlation double")

@@ -205,3 +205,27 @@ def test_quality_report(spark):
     assert status["season"] == "metadata_or_target" and status["d"] == "not_numeric" and status["x_last_10"] == "usable"
     pairs = quality.rank_correlations(df.withColumn("y", F.col("won") * 2.0), ["won", "y"]).collect()
     assert [(r.left_column, r.right_column) for r in pairs] == [("won", "y")]
+
+
+def test_rank_correlations_count_equal_rows(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    a = rng.integers(0, 40, 3000).astype(float)
+    b = a + rng.integers(0, 30, 3000)
+    c = rng.random(3000)
+    rows = [(float(x) if i % 50 else None, float(y), float(z), 1.0) for i, (x, y, z) in enumerate(zip(a, b, c))]
+    df = spark.createDataFrame(rows, "a double, b double, c double, same double").repartition(7)
+    a[::50] = np.median(np.delete(a, np.arange(0, 3000, 50)))
+
+    def ranks(v):
+        values, at, n = np.unique(v, return_inverse=True, return_counts=True)
+        return (np.cumsum(n) - (n - 1) / 2)[at]
+
+    got = {(r.left_column, r.right_column): r.correlation for r in quality.rank_correlations(df, ["a", "b", "c", "same"], 0.0).collect()}
+    want = {(x, y): np.corrcoef(ranks(v), ranks(w))[0, 1] for (x, v), (y, w) in ((("a", a), ("b", b)), (("a", a), ("c", c)), (("b", b), ("c", c)))}
+    assert got == pytest.approx(want, abs=1e-9)
+    # No sort of all rows: distinct values come in ranges, each ranked by itself.
+    counted = spark.range(5000).selectExpr("cast(id % 1000 as double) AS v", "2L AS n")
+    found = quality.mean_ranks(counted, ["v"], "n").collect()
+    assert {r.value: r["rank"] for r in found} == {float(v): 10 * v + 5.5 for v in range(1000)}
