@@ -14,7 +14,7 @@ from pyspark.ml.classification import (
     MultilayerPerceptronClassifier,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from pregame.functions.rates import recency_weight
 from pregame.operators import forecasts as X
+from pregame.operators.medians import middles
 from pregame.operators.ridge import fit_before, score_cuts
 from pregame.schemas import TARGET, feature_columns
 from pregame.session import settle
@@ -76,14 +77,27 @@ def fold_of(key: str, folds: int) -> Column:
     return F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(folds)).cast("int")
 
 
-# Rank error of the medians that fill gaps; 0 gives exact ones.
-MEDIAN_ERROR = 0.0
+Fill = dict[str, float]
 
 
-def _inputs(features: Sequence[str], scaled: bool) -> list:
+def _medians(rows: DataFrame, features: Sequence[str]) -> Fill:
+    """The lower middle value of each feature, exact, from histograms: nothing of a column comes to the driver."""
+    return {c: low for (_, c), (low, _) in middles(_not_nan(rows, features), features).items()}
+
+
+def _not_nan(rows: DataFrame, features: Sequence[str], *others: str) -> DataFrame:
+    return _doubles(rows, features).select(*others, *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in features])
+
+
+def _inputs(features: Sequence[str], scaled: bool, fill: Fill) -> list:
+    empty = [c for c in features if c not in fill]
+    if empty:
+        raise ValueError(f"no values to take a median of in {', '.join(empty)}")
     filled = [f"_f{i}" for i in range(len(features))]
+    name = lambda c: "`" + c.replace("`", "``") + "`"
+    each = [f"CASE WHEN {name(c)} IS NULL OR isnan({name(c)}) THEN CAST('{fill[c]!r}' AS DOUBLE) ELSE {name(c)} END AS {f}" for c, f in zip(features, filled)]
     stages = [
-        Imputer(strategy="median", relativeError=MEDIAN_ERROR, inputCols=list(features), outputCols=filled),
+        SQLTransformer(statement=f"SELECT *, {', '.join(each)} FROM __THIS__"),
         VectorAssembler(inputCols=filled, outputCol="_raw" if scaled else "_x"),
     ]
     if scaled:
@@ -128,12 +142,15 @@ def model_names() -> list[str]:
     return ["elo", *LOGISTIC, *FORESTS, *BOOSTED, "mlp", *CALIBRATED, *VOTING, *STACKING]
 
 
-def _fit_one(name: str, train: DataFrame, features: Sequence[str], seed: int, weight: str | None, out: str) -> Fitted:
+def _fit_one(
+    name: str, train: DataFrame, features: Sequence[str], seed: int, weight: str | None, out: str, fill: Fill | None = None
+) -> Fitted:
     rows = _doubles(train, features)
     # Spark divides the loss by the sum of weights, so the penalty must be divided by it too.
     total = train.count() if weight is None else train.agg(F.sum(weight)).first()[0] or 1.0
     scaled, estimator = _classifier(name, float(total), len(features), seed, weight)
-    model = Pipeline(stages=[*_inputs(features, scaled), estimator]).fit(rows)
+    inputs = _inputs(features, scaled, _medians(rows, features) if fill is None else fill)
+    model = Pipeline(stages=[*inputs, estimator]).fit(rows)
     return Fitted(name, tuple(features), _scorer(model, features, out), model)
 
 
@@ -149,20 +166,20 @@ def _scorer(model: PipelineModel, features: Sequence[str], out: str) -> Scorer:
 
 def fit_classifier(
     name: str, train: DataFrame, features: Sequence[str], target: str = TARGET, key: str = "game_id",
-    seed: int = 42, weight: str | None = None, out: str = PROBABILITY,
+    seed: int = 42, weight: str | None = None, out: str = PROBABILITY, fill: Fill | None = None,
 ) -> Fitted:
-    """Fit a preset or ensemble by name on the scored rows of `train`."""
+    """Fit a preset or ensemble by name on the scored rows of `train`. `fill`: their medians, where they are known."""
     rows = train.filter(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
     if weight and (name in CALIBRATED or name in STACKING):
         raise ModelUnavailable(f"{name} takes no weights")
     if name in CALIBRATED:
         return _fit_calibrated(name, rows, features, key, seed, out)
     if name in VOTING:
-        members = [_fit_one(m, rows, features, seed, weight, f"_m{i}") for i, m in enumerate(VOTING[name])]
+        members = [_fit_one(m, rows, features, seed, weight, f"_m{i}", fill) for i, m in enumerate(VOTING[name])]
         return Fitted(name, tuple(features), _averaged(members, out))
     if name in STACKING:
         return _fit_stacking(name, rows, features, key, seed, out)
-    return _fit_one(name, rows, features, seed, weight, out)
+    return _fit_one(name, rows, features, seed, weight, out, fill)
 
 
 def _averaged(members: Sequence[Fitted], out: str) -> Scorer:
@@ -248,7 +265,7 @@ def fit_regressor(
                                           minInstancesPerNode=8, maxDepth=20, featureSubsetStrategy="all", seed=seed)
     else:
         raise ModelUnavailable(f"unknown regressor name: {name}")
-    model = Pipeline(stages=[*_inputs(features, name == "ridge"), estimator]).fit(rows)
+    model = Pipeline(stages=[*_inputs(features, name == "ridge", _medians(rows, features)), estimator]).fit(rows)
     return Fitted(name, tuple(features), _scorer(model, features, out), model)
 
 
@@ -329,7 +346,7 @@ def holdout(
 
 def elo(
     games: DataFrame, by: Sequence[str] = (), k: float = ELO["k"], home: float = ELO["home"],
-    scale: float = ELO["scale"], start: float = ELO["start"], target: str = TARGET,
+    scale: float = ELO["scale"], start: float = ELO["start"], target: str = TARGET, carry: Sequence[str] = (),
 ) -> DataFrame:
     """Home-win probability before each game, from ratings updated game by game.
 
@@ -340,7 +357,7 @@ def elo(
     league = F.concat_ws("|", *[F.col(c).cast("string") for c in by]) if by else F.lit("")
     rows = games.select(
         league.alias("league"), F.col("game_id").cast("string").alias("game_id"), F.col("game_date").cast("timestamp").alias("t"),
-        "home_team", "away_team", F.col(target).cast("double").alias("won"),
+        "home_team", "away_team", F.col(target).cast("double").alias("won"), *carry,
     )
     order = ["league", "t", F.col("game_id").try_cast("bigint"), "game_id"]
     ordered = rows.repartition("league").sortWithinPartitions(*order)
@@ -358,9 +375,10 @@ def elo(
                 if won == won and won is not None:
                     ratings[host] = ratings.get(host, start) + k * (won - p)
                     ratings[guest] = ratings.get(guest, start) - k * (won - p)
-            yield pd.DataFrame({"league": batch.league, "game_id": batch.game_id, PROBABILITY: chance})
+            yield batch[["league", "game_id", *carry]].assign(**{PROBABILITY: chance})
 
-    return ordered.mapInPandas(rate, f"league string, game_id string, {PROBABILITY} double")
+    kept = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in ("league", "game_id", *carry))
+    return ordered.mapInPandas(rate, f"{kept}, {PROBABILITY} double")
 
 
 # -- experiments ---------------------------------------------------------------------------
@@ -368,7 +386,46 @@ def elo(
 IDENTITY = ["game_id", "game_date", "season", "home_team", "away_team", "home_score", "away_score", TARGET]
 
 
-def _score_season(df: DataFrame, name: str, season: int | None, features: Sequence[str] | None, seed: int) -> DataFrame:
+@dataclass(frozen=True)
+class Shared:
+    """What the held-out seasons of a table have in common, made once for all of them."""
+
+    fills: dict[int, Fill]
+    rated: DataFrame | None = None
+
+
+def _shared(df: DataFrame, models: Sequence[str], seasons: Sequence[int], features: Sequence[str] | None) -> Shared:
+    """Medians of the earlier games of every season from one search, and one chain of Elo ratings.
+
+    Seasons without scored games before and in them are left out: they are held out by time. A rating needs only the games
+    before it, so one chain serves all seasons where one ends before the next begins; otherwise each has its own.
+    """
+    scored = df.filter(F.col(TARGET).isNotNull() & F.col("season").isNotNull())
+    t = F.col("game_date").cast("timestamp") if "game_date" in df.columns else F.lit(None).cast("timestamp")
+    # One line per season.
+    spans = sorted(scored.groupBy("season").agg(F.min(t), F.max(t), F.count_if(t.isNull())).collect())
+    known = [s[0] for s in spans]
+    usual = [s for s in seasons if s in known[1:]]
+    columns = list(features) if features is not None else feature_columns(df)
+    fills: dict[int, Fill] = {s: {} for s in usual}
+    if usual and columns and any(name != "elo" for name in models):
+        rows = _not_nan(scored, columns, "season")
+        for (cut, c), (low, _) in middles(rows, columns, before=("season", usual)).items():
+            fills[int(cut)][c] = low
+    apart = all(not s[3] for s in spans) and all(a[2] < b[1] for a, b in zip(spans, spans[1:]))
+    rated = None
+    if usual and apart and "elo" in models:
+        rated = settle(elo(scored.filter(F.col("season") <= max(usual)), carry=["season"]).drop("league"))
+    return Shared(fills, rated)
+
+
+def _score_season(
+    df: DataFrame, name: str, season: int | None, features: Sequence[str] | None, seed: int, common: Shared = Shared({})
+) -> DataFrame:
+    if name == "elo" and common.rated is not None and season in common.fills:
+        test = df.filter(F.col(TARGET).isNotNull() & (F.col("season") == season))
+        rated = common.rated.filter(F.col("season") <= season).select(F.col("game_id").alias("_rated"), PROBABILITY)
+        return test.join(rated, F.col("game_id").cast("string") == F.col("_rated")).drop("_rated")
     train, test = holdout(df, season)
     if name == "elo":
         keys = [c for c in IDENTITY if c in df.columns]
@@ -377,7 +434,7 @@ def _score_season(df: DataFrame, name: str, season: int | None, features: Sequen
     columns = list(features) if features is not None else feature_columns(train)
     if not columns:
         raise ValueError("no numeric feature columns found")
-    return fit_classifier(name, train, columns, seed=seed).score(test)
+    return fit_classifier(name, train, columns, seed=seed, fill=common.fills.get(season)).score(test)
 
 
 def later_seasons(df: DataFrame) -> list[int]:
@@ -394,10 +451,12 @@ def oof_predictions(
     """
     df = settle(df)  # read by every fit
     out = None
-    for season in later_seasons(df) if seasons is None else seasons:
+    seasons = later_seasons(df) if seasons is None else seasons
+    common = _shared(df, models, seasons, features)
+    for season in seasons:
         for name in models:
             try:
-                scored = _score_season(df, name, season, features, seed)
+                scored = _score_season(df, name, season, features, seed, common)
             except ModelUnavailable:
                 continue
             p, truth = F.col(PROBABILITY), F.col(TARGET)

@@ -178,3 +178,41 @@ def test_variants_and_recency(sheet):
     assert grid.count() == 4
     out = M.recency_challengers(sheet, "logistic", 2024, ["a"], recent=1)
     assert {r.variant for r in out.select("variant").distinct().collect()} == {"all_seasons", "recent_seasons", "recency_weighted"}
+
+
+def test_gaps_are_filled_with_the_lower_middle_value(spark):
+    from pyspark.ml.feature import Imputer
+
+    rows = [(4.0, None), (1.0, 2.0), (float("nan"), 7.0), (3.0, 5.0), (None, float("nan")), (2.0, 9.0)]
+    df = spark.createDataFrame(rows, "a double, `b c` double")
+    inputs = M._inputs(["a", "b c"], False, M._medians(df, ["a", "b c"]))
+    got = inputs[0].transform(df).select("_f0", "_f1").collect()
+    want = Imputer(strategy="median", relativeError=0.0, inputCols=["a", "b c"], outputCols=["_f0", "_f1"]).fit(df).transform(df)
+    assert got == want.select("_f0", "_f1").collect()
+    with pytest.raises(ValueError, match="median"):
+        M._inputs(["a"], False, {})
+
+
+@pytest.mark.parametrize("overlap", [False, True])
+def test_one_elo_chain_serves_all_seasons(spark, overlap):
+    import datetime as dt
+    import random
+
+    rng = random.Random(5)
+    rows = [(str(i), dt.datetime(2020 + i // 30, 5, 1) + dt.timedelta(hours=i % 30, days=400 if overlap and i % 7 == 0 else 0), 2020 + i // 30,
+             *rng.sample("ABCD", 2), rng.choice([0, 1, 1, None])) for i in range(120)]
+    df = spark.createDataFrame(rows, "game_id string, game_date timestamp, season int, home_team string, away_team string, home_team_win int")
+    common = M._shared(df, ["elo"], [2021, 2022, 2023], [])
+    assert (common.rated is None) == overlap and set(common.fills) == {2021, 2022, 2023}
+    got = {(r.holdout_season, r.game_id): r.home_win_probability for r in M.oof_predictions(df, ["elo"], None, []).collect()}
+    want = {}
+    for season in (2021, 2022, 2023):
+        want |= {(season, r.game_id): r.home_win_probability for r in M._score_season(df, "elo", season, [], 42).collect()}
+    assert got == pytest.approx(want) and len(got) > 60
+
+
+def test_medians_of_all_seasons_come_from_one_search(spark):
+    rows = [(2020 + i % 4, float(i * 37 % 101) if i % 5 else None, i % 2) for i in range(200)]
+    df = spark.createDataFrame(rows, "season int, x double, home_team_win int")
+    fills = M._shared(df, ["logistic"], [2021, 2022, 2023], ["x"]).fills
+    assert fills == {s: M._medians(df.filter(f"season < {s}"), ["x"]) for s in (2021, 2022, 2023)}
