@@ -33,3 +33,21 @@ def test_every_twin_has_a_query():
     queries, sql = load()
     assert set(sql) <= set(queries)
     assert not [n for n in queries if "pipeline" in n or n.startswith("op")]
+
+
+def test_tables_read_once_are_not_kept(spark, tmp_path):
+    from pregame.catalog import tables as T
+
+    rows = {
+        "orders": ("1 AS o_orderkey, 2 AS o_custkey, timestamp'2024-05-01' AS o_orderdate",),
+        "lineitem": tuple(f"1 AS l_orderkey, {p} AS l_partkey, {p % 3} AS l_suppkey, {p}.0D AS l_quantity, {p} AS l_linenumber, 'A' AS l_returnflag" for p in (1, 2, 4)),
+        "nation": ("3 AS n_nationkey, 'N' AS n_name",), "customer": ("2 AS c_custkey, 3 AS c_nationkey",),
+        "supplier": ("1 AS s_suppkey, 3 AS s_nationkey", "2 AS s_suppkey, 3 AS s_nationkey"),
+    }
+    for name, lines in rows.items():
+        spark.sql(" UNION ALL ".join(f"SELECT {x}" for x in lines)).write.parquet(f"{tmp_path}/{name}.parquet")
+    once = T.batting_logs.once(spark, str(tmp_path), T.games.once).select("game_id", "home_runs")
+    plan = once._jdf.queryExecution().optimizedPlan().toString()
+    assert "InMemoryRelation" not in plan and "opposing_pitcher_hand" not in plan  # only what is needed is made
+    kept = T.batting_logs(spark, str(tmp_path)).select("game_id", "home_runs")
+    assert sorted(once.collect()) == sorted(kept.collect()) and kept.count() == 3
