@@ -6,8 +6,10 @@ Texts are cut into pieces at `[.,;:!?\\x0A-\\x0D]`, pieces into words `[^\\x20\\
    number per word, 0 between pieces. All further steps read this table, so a lost executor changes nothing; it is
    bucketed by shard, so that what comes back to a shard meets it without moving it.
 2. Which n-grams can be frequent is found length by length. A shard counts the hashes of all words and pairs, and
-   of those longer n-grams whose two (n-1)-grams are still in; one exchange by hash sums them over the shards, and what reaches `least`
+   of those longer n-grams whose two (n-1)-grams are still in; one exchange sums them over the shards, and what reaches `least`
    goes back to the shards it came from. Hashes of different phrases may clash, so this only lets too many in.
+   A shard sends each range of hashes one block, sorted and as differences. Of each length it sends at most as many
+   hashes as it has words; how many pass the sift grows faster than the text, as `least` does not grow with it.
 3. Each shard sorts its phrases that are in and builds a count automaton of them, by exact words.
 4. The automata are cut into prefix ranges (of nearly equal numbers of phrases, from every 64th phrase),
    and the parts of a range are united, weights summed. What does not reach `least` falls out here, exactly.
@@ -40,6 +42,7 @@ from pregame.llm.words import LOWER, column_bytes, mix, ranges_hash
 
 SHARD_WORDS = 1_000_000
 HELD_WORDS = 4_000_000
+HASH_BITS, RANGE_WORDS = 40, 4_000_000
 SAMPLED, PER_RANGE, MOST_RANGES = 64, 500, 1 << 16
 
 STOP = np.zeros(256, bool)
@@ -185,22 +188,81 @@ def _rows(b: pa.RecordBatch) -> Iterator[dict]:
         yield {n: c.values if isinstance(c := b.column(n)[i], pa.ListScalar) else c.as_py() for n in b.schema.names}
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """The bits of hashes that are exchanged."""
+    return (h >> np.uint64(64 - HASH_BITS)).astype(np.int64)
+
+
 def _sorted_hashes(stored: pa.Array) -> np.ndarray:
-    return np.sort(stored.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return np.sort(stored.to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0, in as many bytes as the largest needs, equal bytes side by side; the first byte is their width."""
+    width = max(1, (int(values.max()).bit_length() + 7) // 8)
+    return bytes([width]) + values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def _unpacked(stored: bytes) -> np.ndarray:
+    planes = np.frombuffer(stored, np.uint8, offset=1).reshape(stored[0], -1)
+    values = np.zeros((planes.shape[1], 8), np.uint8)
+    values[:, :len(planes)] = planes.T
+    return values.view("<i8").ravel()
+
+
+def _first_hash(part: int, ranges: int) -> int:
+    return -(-(part << HASH_BITS) // ranges)
+
 
+BLOCKS = pa.schema([("part", pa.int32()), ("shard", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
+
+
+def _counts_of(n: int, ranges: int):
+    """A shard's n-grams that may count: hashes (differences) and counts, one block for each range of hashes."""
 
-def _counts_of(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in _rows(b):
                 *before, (h, alive) = _Grams(row["lang"], row["words"], row["ids"]).hashes(n)
                 if "hashes" in row:
-                    live = _among(before[-1][0], _sorted_hashes(row["hashes"])) & before[-1][1]
+                    live = _among(_short(before[-1][0]), _sorted_hashes(row["hashes"])) & before[-1][1]
                     alive = alive & live[:-1] & live[1:]
-                found, counts = np.unique(h[alive], return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(found.view(np.int64)), pa.array(np.full(len(found), row["shard"])), pa.array(counts, pa.int64())],
-                    names=["h", "shard", "c"])
+                found, counts = np.unique(_short(h[alive]), return_counts=True)
+                parts = found * ranges >> HASH_BITS
+                cuts = np.flatnonzero(np.diff(parts, prepend=-1, append=ranges)).tolist()
+                blocks = []
+                for start, stop in zip(cuts, cuts[1:]):
+                    part = int(parts[start])
+                    steps = np.diff(found[start:stop], prepend=_first_hash(part, ranges))
+                    blocks.append({"part": part, "shard": row["shard"], "hashes": _packed(steps), "counts": _packed(counts[start:stop])})
+                yield pa.RecordBatch.from_pylist(blocks, BLOCKS)
+
+    return run
+
+
+def _frequent(ranges: int, least: int):
+    """Sums the blocks of each range, which come one after the other: the hashes of each shard that reach `least`."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = (row for b in batches for row in b.to_pylist())
+        for part, blocks in groupby(rows, key=lambda r: r["part"]):
+            shards, hashes, counts = [], [], []
+            for block in blocks:
+                shards.append(block["shard"])
+                hashes.append(_first_hash(part, ranges) + np.cumsum(_unpacked(block["hashes"])))
+                counts.append(_unpacked(block["counts"]))
+            ends = np.cumsum([0, *map(len, hashes)])
+            h = np.concatenate(hashes)
+            order = np.argsort(h, kind="stable")
+            first = np.flatnonzero(np.diff(h[order], prepend=-1))
+            enough = np.add.reduceat(np.concatenate(counts)[order], first) >= least
+            keep = np.empty(len(h), bool)
+            keep[order] = np.repeat(enough, np.diff(first, append=len(h)))
+            offsets = np.concatenate([[0], np.cumsum(keep)])[ends]
+            kept = pa.RecordBatch.from_arrays(
+                [pa.array(shards, pa.int64()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(h[keep]))],
+                names=["shard", "hashes"])
+            yield kept.filter(pa.array(np.diff(offsets) > 0))
 
     return run
 
@@ -210,13 +272,15 @@ def candidates(shards: DataFrame, longest: int, least: int) -> list[DataFrame]:
 
     Pairs are counted whole: the larger the corpus, the fewer words are rare, so words do not sift them.
     """
+    words = shards.agg(F.sum("n").alias("n")).first().n or 0
+    ranges = 1 + words // RANGE_WORDS
     out: list[DataFrame] = []
     for n in range(1, longest + 1):
         rows = shards.join(out[-1].hint("merge"), "shard") if n > 2 else shards
-        counted = rows.mapInArrow(_counts_of(n), "h long, shard long, c long")
-        total = F.sum("c").over(Window.partitionBy("h"))
-        kept = counted.withColumn("total", total).filter(F.col("total") >= least)
-        out.append(settle(kept.groupBy("shard").agg(F.collect_list("h").alias("hashes"))))
+        blocks = rows.mapInArrow(_counts_of(n, ranges), "part int, shard long, hashes binary, counts binary")
+        ordered = blocks.repartition("part").sortWithinPartitions("part")
+        kept = ordered.mapInArrow(_frequent(ranges, least), "shard long, hashes array<long>")
+        out.append(settle(kept.groupBy("shard").agg(F.flatten(F.collect_list("hashes")).alias("hashes"))))
     return out
 
 
@@ -232,7 +296,7 @@ def shard_phrases(row: dict) -> list[tuple[Phrase, int]]:
     for n, (h, inside) in enumerate(grams.hashes(max(known)), 1):
         if n not in known:
             break
-        now = inside & _among(h, _sorted_hashes(known[n]))
+        now = inside & _among(_short(h), _sorted_hashes(known[n]))
         if alive is not None:
             now &= alive[:-1] & alive[1:]
         places, alive = np.flatnonzero(now), now

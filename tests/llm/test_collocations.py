@@ -75,6 +75,53 @@ def test_a_long_text_is_cut_between_pieces(spark, monkeypatch):
     assert pieces == Counter({(b"one", b"two", b"three"): 20, (b"four",) * 35: 1, (b"five", b"six"): 1})
 
 
+def numbered_shards(rng, n):
+    """Shards of some 270 words out of 12 each, as `encode` writes them, and their words."""
+    rows, texts = [], []
+    for shard in range(n):
+        words = [b"w%d" % i for i in rng.sample(range(16), 12)]
+        ids = [0, *(rng.randrange(1, 13) if rng.random() < 0.9 else 0 for _ in range(300))]
+        rows.append(("en", sum(i > 0 for i in ids), b"\n".join(words), co.np.array(ids, co.np.int32).tobytes(), shard))
+        texts.append([words[i - 1] if i else None for i in ids])
+    return rows, texts
+
+
+def grams(text, n):
+    return Counter(p for i in range(len(text) - n + 1) if None not in (p := tuple(text[i:i + n])))
+
+
+@pytest.mark.parametrize("per_range", [100, 10**9])
+def test_sift_keeps_what_is_frequent_over_all_shards(spark, monkeypatch, per_range):
+    monkeypatch.setattr(co, "RANGE_WORDS", per_range)
+    rows, texts = numbered_shards(random.Random(5), 12)
+    shards = spark.createDataFrame(rows, "lang string, n long, words binary, ids binary, shard long")
+    levels = [{r.shard: r.hashes for r in level.collect()} for level in co.candidates(shards, 3, 6)]
+    for n, level in enumerate(levels, 1):
+        each = [grams(t, n) for t in texts]
+        total = sum(each, Counter())
+        want = {i: k for i, e in enumerate(each) if (k := sum(total[p] >= 6 for p in e))}
+        assert {i: len(set(h)) for i, h in level.items()} == want and len(want) > 3
+
+
+def test_a_shard_sends_one_block_to_each_range():
+    row = numbered_shards(random.Random(6), 1)[0][0]
+    batch = co.pa.RecordBatch.from_pylist([dict(zip(["lang", "n", "words", "ids", "shard"], row))])
+    for n, ranges in ((2, 1), (2, 7), (3, 7)):
+        blocks = [r for b in co._counts_of(n, ranges)(iter([batch])) for r in b.to_pylist()]
+        assert [r["part"] for r in blocks] == list(range(ranges))
+        counts = [c for r in blocks for c in co._unpacked(r["counts"]).tolist()]
+        hashes = [h for r in blocks for h in (co._first_hash(r["part"], ranges) + co.np.cumsum(co._unpacked(r["hashes"]))).tolist()]
+        want = grams([row[2].split(b"\n")[i - 1] if i else None for i in co.np.frombuffer(row[3], co.np.int32).tolist()], n)
+        assert sorted(counts) == sorted(want.values()) and hashes == sorted(set(hashes))
+        assert all(h * ranges >> co.HASH_BITS == r["part"] for r in blocks for h in [co._first_hash(r["part"], ranges)])
+
+
+def test_numbers_are_packed_in_the_bytes_they_need():
+    for values in ([0], [0, 255], [256, 1, 0], [2**40 - 1, 3], [2**62, 0]):
+        stored = co._packed(co.np.array(values, co.np.int64))
+        assert co._unpacked(stored).tolist() == values and len(stored) == 1 + len(values) * max(1, (max(values).bit_length() + 7) // 8)
+
+
 def some_phrases(rng, n):
     phrases = {tuple(rng.choice([b"a", b"b", b"ab", b"c"]) for _ in range(rng.randrange(1, 5))) for _ in range(n)}
     return sorted((p, rng.randrange(1, 4)) for p in phrases)
