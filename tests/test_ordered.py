@@ -164,3 +164,11 @@ def test_bounded_groups_give_the_same_rows(frame):
         out = o.streaks(laid, ["k"], ["ts", "id"], "home", {1: "run"})
         rows.append(sorted(o.trailing_time(out, ["k"], "ts", {"s": o.last_days("x", 3)}, bounded=bounded).select("id", *specs, "run", "s").collect()))
     assert rows[0] == rows[1]
+
+
+def test_latest_per_key_holds_one_copy_of_a_row_that_is_its_own_rank(spark):
+    rows = spark.createDataFrame([("a", 1, None), ("a", 1, 5), ("b", None, 2), ("a", 0, 9), (None, 3, 3)], "k string, x int, y int")
+    newest, oldest = o.latest_per_key(rows, ["k"], ["x", "y"]), o.latest_per_key(rows, ["k"], ["x", "y"], newest=False)
+    assert "max_by" not in newest._jdf.queryExecution().optimizedPlan().toString()
+    assert {tuple(r) for r in newest.collect()} == {("a", 1, 5), ("b", None, 2), (None, 3, 3)}
+    assert {tuple(r) for r in oldest.collect()} == {("a", 0, 9), ("b", None, 2), (None, 3, 3)}
