@@ -229,3 +229,15 @@ def test_rank_correlations_count_equal_rows(spark):
     counted = spark.range(5000).selectExpr("cast(id % 1000 as double) AS v", "2L AS n")
     found = quality.mean_ranks(counted, ["v"], "n").collect()
     assert {r.value: r["rank"] for r in found} == {float(v): 10 * v + 5.5 for v in range(1000)}
+
+
+def test_two_sided_join_makes_its_block_once(spark):
+    base = spark.createDataFrame([("g1", "a", "b"), ("g2", "a", None), ("g3", "b", "a"), (None, "a", "b")], "game_id string, h string, w string")
+    block = spark.createDataFrame([("g1", "a", 1.0), ("g1", "b", 2.0), ("g2", "a", 3.0), ("g2", "a", 4.0), ("g2", None, 5.0), (None, "a", 6.0)],
+                                  "game_id string, player_id string, v double")
+    out = J.join_two_sided(base, block.withColumn("made_here", F.rand(7) * 0 + F.col("v")), "game_id", "h", "w", "player_id")
+    rows = sorted(tuple(r) for r in out.filter("game_id IS NOT NULL").select("game_id", "home_v", "away_v").fillna(-1.0).collect())
+    assert rows == [("g1", 1.0, 2.0), ("g2", 3.0, -1.0), ("g2", 4.0, -1.0), ("g3", -1.0, -1.0)]  # two rows of a member give two
+    assert out.filter("game_id IS NULL AND home_v IS NULL AND away_v IS NULL").count() == 1
+    assert out.columns == ["game_id", "h", "w", "home_v", "home_made_here", "away_v", "away_made_here"]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("rand(7)") == 1
